@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from vecspark.llm import simhash
+from vecspark.llm import decontaminate, linededup, simhash
 
 
 def queries() -> dict:
-    found = [simhash.op10_simhash]
+    found = [decontaminate.op1_decontaminate, linededup.op2_linededup, simhash.op10_simhash]
     return {f.__name__: f for f in found}
 
 
