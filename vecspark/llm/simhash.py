@@ -1,20 +1,21 @@
 """Operator 10: SimHash near-duplicates found by pigeonring filtering.
 
 *Signature.* A document's features are its token stems (first 6 bytes), weighted 1 + ln(count); signed random projections
-give 240 bits. *Near-duplicates* are documents whose signatures differ in at most 23 bits; groups are the connected
-components of that relation, and the smallest ``doc_id`` of a group is its representative.
+give three independent rings of 240 bits. *Near-duplicates* are documents that differ in at most 23 bits of some ring (one
+ring alone misses a third of the copies with 15 % other words); groups are the connected components of that relation,
+and the smallest ``doc_id`` of a group is its representative.
 
-*Search, exact.* The signature is a ring of 12 segments of 20 bits. By the pigeonring principle any pair within 23 bits has
+*Search, exact.* A ring has 12 segments of 20 bits. By the pigeonring principle any pair within 23 bits has
 a segment from which every chain of 1, 2, ... following segments stays within its proportional budget (1, 3, 5, 7, ...
 bits). A first segment differing in at most one bit agrees on its upper or its lower 10 bits, so each signature is sent
-to 24 buckets (segment, half, 10 bits): a constant number of rows a document. Inside a bucket sorted by the other half,
+to 72 buckets (ring, segment, half, 10 bits): a constant number of rows a document. Inside a bucket sorted by the other half,
 the partners with no or one different bit are found by binary search, pruned by the chain budgets and then checked on
 the full signature. Pairs already known to be connected are not compared again, so a group of n copies costs about n
 checks; nothing is capped. Equal signatures are merged beforehand.
 
 Defined cases: null and empty texts belong to no group. A text without any token is one feature (the whole text). Rows
 without ``doc_id`` belong to no group. Rows repeated under one ``doc_id`` are one document. Other columns are ignored.
-Unrelated signatures meet with odds of 24 * 11 / 2 ** 20: for more than some 10 ** 8 documents raise ``WIDTH``.
+Unrelated signatures meet with odds of 72 * 11 / 2 ** 20: for more than some 10 ** 8 documents raise ``WIDTH``.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ from pyspark.sql import functions as F
 
 from vecspark.llm import text as X
 
-SEGMENTS, WIDTH, LIMIT, CHAIN, STEM = 12, 20, 23, 4, 6
+RINGS, SEGMENTS, WIDTH, LIMIT, CHAIN, STEM = 3, 12, 20, 23, 4, 6
 HALF = WIDTH // 2
-BYTES = SEGMENTS * WIDTH // 8
+RING_BYTES = SEGMENTS * WIDTH // 8
+BYTES = RINGS * RING_BYTES
 BUDGET = [length * LIMIT // SEGMENTS for length in range(1, SEGMENTS + 1)]
 _SIGN = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2) - 1
-_SALT = [X.U(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1)) for k in range(4)]
+_SALT = [X.U(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1)) for k in range(-(-BYTES // 8))]
 
 
 def signatures(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -80,7 +82,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def segments(sig: np.ndarray) -> np.ndarray:
-    """BYTES bytes to SEGMENTS numbers of WIDTH bits."""
+    """RING_BYTES bytes to SEGMENTS numbers of WIDTH bits."""
     bits = np.unpackbits(sig, axis=1).reshape(len(sig), SEGMENTS, WIDTH)
     return bits @ (1 << np.arange(WIDTH - 1, -1, -1, dtype=np.int64))
 
@@ -88,11 +90,13 @@ def segments(sig: np.ndarray) -> np.ndarray:
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sig = np.array([np.frombuffer(x, np.uint8) for x in b.column(1).to_pylist()], dtype=np.uint8).reshape(-1, BYTES)
-        seg = segments(sig)
-        for s in range(SEGMENTS):
-            for half, part in ((0, seg[:, s] >> HALF), (1, seg[:, s] & ((1 << HALF) - 1))):
-                bucket = ((s * 2 + half) << HALF) | part
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), b.column(0), b.column(1)], names=["bucket", "id", "sig"])
+        for ring in range(RINGS):
+            own = np.ascontiguousarray(sig[:, ring * RING_BYTES : (ring + 1) * RING_BYTES])
+            seg, own = segments(own), pa.array([x.tobytes() for x in own], pa.binary())
+            for s in range(SEGMENTS):
+                for half, part in ((0, seg[:, s] >> HALF), (1, seg[:, s] & ((1 << HALF) - 1))):
+                    bucket = (((ring * SEGMENTS + s) * 2 + half) << HALF) | part
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), b.column(0), own], names=["bucket", "id", "sig"])
 
 
 class Components:
@@ -132,14 +136,14 @@ def _within(seg: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np
 
 
 def link(bucket: np.ndarray, node: np.ndarray, seg: np.ndarray, known: Components, block: int = 1 << 19) -> None:
-    """Connects, in ``known``, the nodes of near signatures that share a bucket. seg is by node."""
+    """Connects, in ``known``, the nodes of near signatures that share a bucket."""
     half = (bucket >> HALF) & 1
-    s = bucket >> (HALF + 1)
-    own = seg[node, s]
+    s = (bucket >> (HALF + 1)) % SEGMENTS
+    own = seg[np.arange(len(s)), s]
     rest = np.where(half == 0, own & ((1 << HALF) - 1), own >> HALF)
     key = (bucket.astype(np.int64) << HALF) | rest
     order = np.argsort(key, kind="stable")
-    key, node, s, half = key[order], node[order], s[order], half[order]
+    key, node, s, half, seg = key[order], node[order], s[order], half[order], seg[order]
     everyone = np.arange(len(key))
     for bit in range(-1, HALF):
         if bit < 0:
@@ -156,9 +160,9 @@ def link(bucket: np.ndarray, node: np.ndarray, seg: np.ndarray, known: Component
             there = np.arange(first, first + size)
             there = there[known.find(node[there]) != root]
             if len(there):
-                me = np.full(len(there), node[i])
-                ok = _within(seg, np.full(len(there), s[i]), me, node[there])
-                known.union(me[ok], node[there[ok]])
+                me = np.full(len(there), i)
+                ok = _within(seg, np.full(len(there), s[i]), me, there)
+                known.union(node[me[ok]], node[there[ok]])
         who, lo, n = who[~wide], lo[~wide], n[~wide]
         ends = np.cumsum(n)
         i = 0
@@ -169,7 +173,7 @@ def link(bucket: np.ndarray, node: np.ndarray, seg: np.ndarray, known: Component
             b = np.repeat(lo[i:j], size) + np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size)
             new = known.find(node[a]) != known.find(node[b])
             a, b = a[new], b[new]
-            ok = _within(seg, s[a], node[a], node[b])
+            ok = _within(seg, s[a], a, b)
             known.union(node[a[ok]], node[b[ok]])
             i = j
 
@@ -179,11 +183,11 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         bucket.append(np.asarray(b.column(0)))
         ids.append(np.asarray(b.column(1)))
-        sig.append(np.array([np.frombuffer(x, np.uint8) for x in b.column(2).to_pylist()], dtype=np.uint8).reshape(-1, BYTES))
+        sig.append(np.array([np.frombuffer(x, np.uint8) for x in b.column(2).to_pylist()], dtype=np.uint8).reshape(-1, RING_BYTES))
     if not bucket:
         return
-    every, at, node = np.unique(np.concatenate(ids), return_index=True, return_inverse=True)
-    seg = segments(np.concatenate(sig)[at]).astype(np.uint32)
+    every, node = np.unique(np.concatenate(ids), return_inverse=True)
+    seg = np.concatenate([segments(x).astype(np.uint32) for x in sig])
     known = Components(len(every))
     link(np.concatenate(bucket).astype(np.int64), node, seg, known)
     root = known.find(np.arange(len(every)))
