@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from vecspark.llm import decontaminate, linededup, simhash
+from vecspark.llm import decontaminate, langid, linededup, simhash
 
 
 def queries() -> dict:
-    found = [decontaminate.op1_decontaminate, linededup.op2_linededup, simhash.op10_simhash]
+    found = [decontaminate.op1_decontaminate, linededup.op2_linededup, langid.op5_langid, simhash.op10_simhash]
     return {f.__name__: f for f in found}
 
 
