@@ -60,15 +60,16 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 120) -> np.
     """Weights, bias last, of a linear machine with squared hinge loss, by accelerated gradient descent; y is -1 or 1."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     share = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * c / len(y)
-    top = np.ones(x.shape[1])
+    top = np.ones(x.shape[1], np.float32)
     for _ in range(12):  # the largest eigenvalue bounds the slope
         top = x.T @ (x @ (top / max(np.linalg.norm(top), 1e-12)))
     step = 1 / (1 + 2.4 * share.max() * np.linalg.norm(top))
-    w = v = np.zeros(x.shape[1])
+    share, y = share.astype(np.float32), y.astype(np.float32)
+    w = v = np.zeros(x.shape[1], np.float32)
     for k in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ v))
-        new = v - step * (v - 2 * x.T @ (share * slack * y))
-        v = new + k / (k + 3) * (new - w)
+        new = v - np.float32(step) * (v - 2 * x.T @ (share * slack * y))
+        v = new + np.float32(k / (k + 3)) * (new - w)
         w = new
     return w
 
