@@ -94,7 +94,7 @@ def judge(kind: int, span: str, before: str) -> tuple[list[int], list[bool]]:
         check = int(len(set(span.lower())) >= 8)
     elif name == "number":
         check = 0 if len(digits) < 9 else 2
-    shape = int(len(set(digits or span)) > 2) if name != "email" else int("@" in span[1:-1])
+    shape = int("@" in span[1:-1]) if name == "email" else int(len(set(span if name == "secret" else digits)) > 2)
     votes = [int(strict), check, known, 1 if cue and not against else 0 if against else 2, 2 if shape else 0]
     features = [kind == k for k in range(len(KINDS))]
     features += [strict, check == 1, check == 0, known == 1, known == 0, cue, against, bool(shape), len(span) >= 16, span[:1] == "+", span.upper() == span, len(digits) * 2 >= len(span), True]

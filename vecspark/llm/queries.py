@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from vecspark.llm import decontaminate, langid, linededup, simhash
+from vecspark.llm import decontaminate, langid, linededup, pii, simhash, toxicity
 
 
 def queries() -> dict:
-    found = [decontaminate.op1_decontaminate, linededup.op2_linededup, langid.op5_langid, simhash.op10_simhash]
+    found = [decontaminate.op1_decontaminate, linededup.op2_linededup, langid.op5_langid, pii.op7_pii, toxicity.op9_toxicity, simhash.op10_simhash]
     return {f.__name__: f for f in found}
 
 
