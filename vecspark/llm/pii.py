@@ -8,8 +8,8 @@ each pattern's probability; these soft labels train the final span classifier, a
 Both models work on counts of distinct patterns (at most some thousand rows, however large the corpus), so they see every
 document. Spans of probability 0.5 and more are returned.
 
-The texts are scanned once, whole, and candidates written to the shared folder; only the surroundings of digits and ``@``
-reach Python code. Spans are character positions, ``text[start:stop]``.
+The texts are scanned once, whole, and candidates written to the shared folder; only the surroundings of digits, ``@`` and
+key prefixes reach Python code. Spans are character positions, ``text[start:stop]``.
 
 Defined cases: null and empty texts and rows without ``doc_id`` give nothing; of overlapping candidates the first kind in
 ``KINDS``, then the leftmost, wins; repeated rows give their spans once; no candidates at all give an empty result; other
@@ -58,6 +58,7 @@ AGAINST = frozenset("version release isbn order page section chapter figure buil
 N_LABELERS, N_FEATURES = 5, 20
 SCHEMA = "doc_id long, start long, stop long, kind string, span string, votes int, features int"
 _CUES = {k: frozenset(v.split()) for k, v in CUES.items()}
+PREFIX = re.compile(rb"AKIA|gh[pousr]_|sk-")
 _WORD = re.compile(r"[^\W\d_]+|[^\W_][\w-]*")
 
 
@@ -116,12 +117,14 @@ def spans(text: str, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
 
 def found(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int, int, str, list[int], list[bool]]]:
     """(row, start, stop, kind, span, votes, features) of all candidates of a chunk."""
-    hot = np.flatnonzero(X.DIGIT[buf] | (buf == 64))
+    raw = buf.tobytes()
+    mask = X.DIGIT[buf] | (buf == 64)
+    mask[[m.start() for m in PREFIX.finditer(raw)]] = True
+    hot = np.flatnonzero(mask)
     if len(hot) == 0:
         return
     row = np.searchsorted(offs, hot, "right") - 1
     cut = np.flatnonzero((np.diff(hot) > 32) | (np.diff(row) > 0)) + 1
-    raw = buf.tobytes()
     chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
     done: set[tuple[int, int]] = set()
     for a, b in zip(np.concatenate([[0], cut]), np.append(cut, len(hot)), strict=True):
