@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from vecspark.llm import decontaminate, langid, licenses, linededup, neighbours, pieces, pii, simhash, toxicity
+from vecspark.llm import decontaminate, langid, licenses, linededup, neighbours, pieces, pii, simhash, toxicity, warc
 
 
 def queries() -> dict:
-    found = [decontaminate.op1_decontaminate, linededup.op2_linededup, neighbours.op4_neighbours, langid.op5_langid, licenses.op6_licenses, pii.op7_pii, pieces.op8_pieces, toxicity.op9_toxicity, simhash.op10_simhash]
+    found = [decontaminate.op1_decontaminate, linededup.op2_linededup, warc.op3_warc, neighbours.op4_neighbours, langid.op5_langid, licenses.op6_licenses, pii.op7_pii, pieces.op8_pieces, toxicity.op9_toxicity, simhash.op10_simhash]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_neighbours": neighbours.ORACLE, "op6_licenses": licenses.oracle()}
+    return {"op3_warc": warc.ORACLE, "op4_neighbours": neighbours.ORACLE, "op6_licenses": licenses.oracle()}
