@@ -26,6 +26,7 @@ from vecspark.functions import distance as D
 SHIPPED = 64 << 20
 ROWS = 4096
 BLOCK = 8192
+WIDE = 10_000
 
 
 def id_filter(vectors: DataFrame, ids: DataFrame | Iterable, id_col: str = "vec_id") -> DataFrame:
@@ -60,6 +61,8 @@ def search(
     found = own.select(F.col(id_col).alias("id"), d.alias("distance"))
     if min_similarity > 0:
         found = found.where(D.similarity(F.col("distance")) >= min_similarity)
+    if k > WIDE:
+        k = max(1, min(k, found.count()))  # room for k rows is set aside in every task
     best = found.orderBy("distance", "id").limit(k)
     best = best.withColumn("rank", F.row_number().over(Window.orderBy("distance", "id")))  # k rows
     if not metadata:
@@ -180,8 +183,8 @@ def _blocks(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> Data
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, distance double"
     vectors, queries = vectors.where("id IS NOT NULL AND v IS NOT NULL"), queries.where("query_id IS NOT NULL AND q IS NOT NULL")
     nv, nq = (max(1, -(-x.count() // BLOCK)) for x in (vectors, queries))
-    left = queries.withColumn("i", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
-    right = vectors.withColumn("j", F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long"))
+    left = queries.withColumn("i", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
+    right = vectors.withColumn("j", F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
     def join(asked: pa.Table, own: pa.Table) -> pa.Table:
         parts = []
