@@ -10,7 +10,8 @@ four tokens before it) a quarter more. Documents of ``THRESHOLD`` (1.5) and more
 
 *Learned stems.* Of ``TRAIN_ROWS`` labelled rows (those of the smallest hash of ``doc_id``), the words and word beginnings
 that at least nine in ten times mean a toxic document are taken greedily until each toxic document has three, or none
-adds five documents. Spellings that the misspelling rule finds in clean rows of the sample are exempted.
+adds five documents. Beginnings that mean so only where three words of a document have them are *weak* stems; a hit of
+one counts half, so that three reach the threshold. Spellings that the misspelling rule finds in clean rows of the sample are exempted.
 
 Defined cases: null and empty texts and rows without ``doc_id`` give no row; an empty table of labels leaves the built-in
 terms; contradicting labels of one document count as toxic; repeated rows give their row once; extra columns are ignored.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from vecspark.llm import text as X
 
-TRAIN_ROWS, THRESHOLD, FUZZY_FROM, COVER, GAIN, PRECISION = 4000, 1.5, 5, 3, 5, 0.9
+TRAIN_ROWS, THRESHOLD, FUZZY_FROM, COVER, GAIN, PRECISION, REPEATS, WEAK = 4000, 1.5, 5, 3, 5, 0.9, 3, 0.5
 TERMS = """idiot moron stupid pathetic worthless disgusting trash scum clown loser imbecile cretin dumbass bastard asshole
 scumbag lowlife dimwit halfwit vermin arschloch dummkopf missgeburt abschaum connard salaud ordure pendejo gilipollas
 imbécil estúpido""".split()
@@ -41,12 +42,12 @@ QUOTES = "\"“”„«»‘"
 
 
 class Automaton:
-    """All strings within one edit of a fuzzy term, equal to an exact term, or beginning with a stem."""
+    """All strings within one edit of a fuzzy term, equal to an exact term, or beginning with a stem or weak stem."""
 
-    def __init__(self, fuzzy: Iterable[str], exact: Iterable[str], stems: Iterable[str]):
-        children: list[dict[int, int]] = [{}, {}, {}]
+    def __init__(self, fuzzy: Iterable[str], exact: Iterable[str], stems: Iterable[str], weak: Iterable[str] = ()):
+        children: list[dict[int, int]] = [{}, {}, {}, {}]
         ends: dict[int, str] = {}
-        for root, words in enumerate((fuzzy, exact, stems)):
+        for root, words in enumerate((fuzzy, exact, stems, weak)):
             for w in sorted(set(words)):
                 node = root
                 for c in w.encode():
@@ -55,7 +56,7 @@ class Automaton:
                         children.append({})
                     node = children[node][c]
                 ends[node] = w
-        kind = [0, 1, 2] + [0] * (len(children) - 3)
+        kind = [0, 1, 2, 3] + [0] * (len(children) - 4)
         for node, own in enumerate(children):
             for child in own.values():
                 kind[child] = kind[node]
@@ -74,7 +75,7 @@ class Automaton:
                             todo.append((child, 1))
             return frozenset(states)
 
-        start = closed({(0, 0), (1, 0), (2, 0)})
+        start = closed({(0, 0), (1, 0), (2, 0), (3, 0)})
         index, todo, rows = {start: 0}, [start], []
         while todo:
             now = todo.pop(0)
@@ -82,7 +83,7 @@ class Automaton:
             for c in [*used, -1]:
                 to: set[tuple[int, int]] = set()
                 for node, e in now:
-                    if kind[node] == 2 and node in ends:
+                    if kind[node] >= 2 and node in ends:
                         to.add((node, e))  # whatever follows a stem
                     if c in children[node]:
                         to.add((children[node][c], e))
@@ -97,8 +98,9 @@ class Automaton:
             rows.append(row)
         self.next = np.array(rows, dtype=np.int32)
         self.dead = index.get(frozenset(), -1)
-        best = [min(((e, ends[node]) for node, e in s if node in ends), default=None) for s in index]
-        self.term = [b[1] if b else None for b in best]
+        best = [min(((e, kind[node] == 3, ends[node]) for node, e in s if node in ends), default=None) for s in index]
+        self.term = [b[2] if b else None for b in best]
+        self.weak = [bool(b and b[1]) for b in best]
         self.edits = np.array([b[0] if b else -1 for b in best])
 
     def run(self, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -114,10 +116,10 @@ class Automaton:
 
 
 class Lexicon:
-    def __init__(self, stems: Iterable[str] = (), words: Iterable[str] = (), benign: Iterable[str] = ()):
-        self.stems, self.words, self.benign = sorted(stems), sorted(words), BENIGN | set(benign)
+    def __init__(self, stems: Iterable[str] = (), words: Iterable[str] = (), benign: Iterable[str] = (), weak: Iterable[str] = ()):
+        self.stems, self.words, self.weak, self.benign = sorted(stems), sorted(words), sorted(weak), BENIGN | set(benign)
         terms = set(TERMS)
-        self.automaton = Automaton([w for w in terms if len(w.encode()) >= FUZZY_FROM], [w for w in terms if len(w.encode()) < FUZZY_FROM] + self.words, self.stems)
+        self.automaton = Automaton([w for w in terms if len(w.encode()) >= FUZZY_FROM], [w for w in terms if len(w.encode()) < FUZZY_FROM] + self.words, self.stems, self.weak)
 
     def hits(self, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, str, bool, bool, float]]:
         """(row, term, misspelled, quoted, weight) of every hit."""
@@ -135,18 +137,21 @@ class Lexicon:
             after = raw[b : int(offs[row + 1])].split(b"\n", 1)[0].decode("utf-8", "replace")
             inside = sum(c in QUOTES for c in line) % 2 == 1 and any(c in QUOTES for c in after)
             quoted = inside or bool(before & CUES)
-            weight = (0.75 if wrong else 1.0) * (0.25 if quoted else 1.25 if before & ADDRESS else 1.0)
+            weight = (0.75 if wrong else WEAK if self.automaton.weak[state[k]] else 1.0) * (0.25 if quoted else 1.25 if before & ADDRESS else 1.0)
             yield row, self.automaton.term[state[k]], wrong, quoted, weight
 
 
 def learn(rows: Iterable[tuple[list[str], bool]]) -> Lexicon:
-    """The lexicon learned from (distinct tokens, toxic) of labelled documents."""
+    """The lexicon learned from (tokens, each as often as it comes but ``REPEATS`` times at most; toxic) of labelled documents.
+
+    Forms are words, beginnings (``*``) and beginnings that ``REPEATS`` words of a document have (``#``)."""
     toxic: dict[str, set[int]] = defaultdict(set)
     clean: Counter = Counter()
     bad: dict[int, int] = {}
     clean_tokens: set[str] = set()
     for n, (tokens, is_toxic) in enumerate(rows):
-        forms = {w[:k] + "*" for w in tokens for k in range(4, min(9, len(w)) + 1)} | {w for w in tokens if len(w) > 2}
+        begun = Counter(w[:k] for w in tokens for k in range(4, min(9, len(w)) + 1))
+        forms = {f + "*" for f in begun} | {f + "#" for f, c in begun.items() if c >= REPEATS} | {w for w in tokens if len(w) > 2}
         if is_toxic:
             bad[n] = 0
             for f in forms:
@@ -158,15 +163,16 @@ def learn(rows: Iterable[tuple[list[str], bool]]) -> Lexicon:
     taken: list[str] = []
     while good:
         gain = {f: sum(bad[n] < COVER for n in d) for f, d in good.items()}
-        f = max(gain, key=lambda x: (gain[x], len(x), x))
+        f = max(gain, key=lambda x: (gain[x], x[-1] != "#", len(x), x))
         if gain[f] < GAIN:
             break
         taken.append(f)
         for n in good.pop(f):
             bad[n] += 1
-        stem = f.rstrip("*")
-        good = {x: d for x, d in good.items() if gain[x] >= GAIN and not x.startswith(stem) and not stem.startswith(x.rstrip("*"))}
-    lexicon = Lexicon([f[:-1] for f in taken if f[-1] == "*"], [f for f in taken if f[-1] != "*"])
+        stem, weak = f.rstrip("*#"), f[-1] == "#"
+        related = lambda x, stem=stem: x.startswith(stem) or stem.startswith(x.rstrip("*#"))
+        good = {x: d for x, d in good.items() if gain[x] >= GAIN and not (related(x) and (x[-1] == "#" or not weak))}
+    lexicon = Lexicon([f[:-1] for f in taken if f[-1] == "*"], [f for f in taken if f[-1] not in "*#"], (), [f[:-1] for f in taken if f[-1] == "#"])
     words = sorted(w for w in clean_tokens if w)
     text = " ".join(words).encode()
     size = [len(w.encode()) for w in words]
@@ -185,7 +191,8 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = t.low.tobytes()
             for r in range(j - i):
                 lo, hi = t.first[r], t.first[r + 1]
-                at = np.unique(t.hash[lo:hi], return_index=True)[1] + lo
+                _, at, often = np.unique(t.hash[lo:hi], return_index=True, return_counts=True)
+                at = np.repeat(at + lo, np.minimum(often, REPEATS))
                 out.append(sorted(raw[t.start[k] : t.end[k]].decode("utf-8", "replace") for k in at))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["toxic", "tokens"])
 
