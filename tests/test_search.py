@@ -54,6 +54,13 @@ def test_single_search(tiny, metric):
     assert [(r["id"], round(r["distance"], 6) + 0.0) for r in found] == [(v, round(d, 6)) for q, v, d, _ in sorted(brute(metric, 4), key=lambda x: x[3]) if q == 11]
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "inner_product"])
+def test_range_search(tiny, asked, metric):
+    for radius in (0.0, 0.5, 10.0, 25.0):
+        found = search.range_search(tiny, asked, radius, metric).collect()
+        assert sorted((r["query_id"], r["id"]) for r in found) == sorted((q, v) for q, v, d, _ in brute(metric, 10) if d <= radius + (1e-12 if metric == "cosine" else 0))
+
+
 def test_slices_of_queries_give_the_same(tiny, asked, monkeypatch):
     whole = sorted(search.search_batch(tiny, asked, 2, strategy="kernel").collect())
     monkeypatch.setattr(search, "SHIPPED", 1)
@@ -107,3 +114,14 @@ def test_scalar_functions(spark):
     a, b, c = F.col("a"), F.col("b"), F.col("c")
     got = row.select(D.squared_l2(a, b), D.cosine(a, b), D.inner_product(b, b), D.normalize(b), D.normalize(a), D.squared_l2(a, c), D.similarity(D.squared_l2(a, b)), D.similarity(F.lit(-1.0))).first()
     assert list(got)[:3] == [25.0, 1.0, -24.0] and np.allclose(got[3], [0.6, 0.8]) and got[4] == [0.0, 0.0] and got[5] is None and got[6] == 1 / 26 and got[7] is None
+
+
+@pytest.mark.parametrize("rows", [1, 40, 2000, 5000])
+def test_bounded_samples(spark, rows):
+    from vecspark.operators.sampling import smallest_hashes
+
+    df = spark.range(3000).withColumn("h", F.xxhash64("id"))
+    want = {r["id"] for r in df.orderBy("h").limit(rows).collect()}
+    for total in (None, 3000, 10**9):
+        assert {r["id"] for r in smallest_hashes(df, F.col("h"), rows, total).collect()} == want
+    assert smallest_hashes(df.limit(0), F.col("h"), rows).count() == 0

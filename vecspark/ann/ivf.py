@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vecspark.functions import distance as D
 from vecspark.operators import search
+from vecspark.operators.sampling import smallest_hashes
 
 SAMPLE = 100_000
 
@@ -21,7 +22,7 @@ SAMPLE = 100_000
 def fit(vectors: DataFrame, cells: int, metric: str = "euclidean", rounds: int = 15, seed: int = 42, id_col: str = "vec_id", vector_col: str = "embedding") -> np.ndarray:
     """Centroids (cells x dim), by Lloyd's rounds over a bounded sample; fewer where there are fewer vectors."""
     own = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull())
-    rows = own.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(SAMPLE).select(vector_col).toArrow()
+    rows = smallest_hashes(own, F.xxhash64(id_col, F.lit(seed)), SAMPLE).orderBy(id_col).select(vector_col).toArrow()
     if not rows.num_rows:
         return np.zeros((0, 0))
     col = rows.column(0).combine_chunks()

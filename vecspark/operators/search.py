@@ -107,12 +107,18 @@ def search_batch(
     return top_k(scored, k).select("query_id", "id", "distance", "rank")
 
 
-def _nearest(metric: str, queries: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query number, row, distance) of the k nearest rows by (distance, id), for strips of queries."""
+def _nearest(metric: str, queries: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, radius: float | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query number, row, distance) of the k nearest rows by (distance, id), or of all within ``radius``, for strips of queries."""
     strip = max(1, (4 << 20) // max(1, len(x)))
     for lo in range(0, len(queries), strip):
         part = queries[lo : lo + strip]
         rough = D.kernel(metric, part, x)
+        if radius is not None:
+            scale = 1 + abs(radius) + float(np.abs(rough).max())
+            row, col = np.nonzero(rough <= radius + 1e-9 * scale)
+            d = D.pairs(metric, part[row], x[col])
+            yield lo + row[d <= radius], col[d <= radius], d[d <= radius]
+            continue
         if len(x) > k:
             cut = np.partition(rough, k - 1, axis=1)[:, k - 1]
             slack = 1e-9 * (1 + np.abs(cut))  # covers the cancellation of the matrix form
@@ -179,7 +185,7 @@ def _kernel(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> Data
     return found if found is not None else spark.createDataFrame([], schema)
 
 
-def _blocks(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
+def _blocks(vectors: DataFrame, queries: DataFrame, k: int, metric: str, radius: float | None = None) -> DataFrame:
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, distance double"
     vectors, queries = vectors.where("id IS NOT NULL AND v IS NOT NULL"), queries.where("query_id IS NOT NULL AND q IS NOT NULL")
     nv, nq = (max(1, -(-x.count() // BLOCK)) for x in (vectors, queries))
@@ -196,7 +202,7 @@ def _blocks(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> Data
                 q, x = D.unit_rows(q), D.unit_rows(x)
             ids, names = own.column("id").combine_chunks().take(pa.array(rows)), asked.column("query_id").combine_chunks().take(pa.array(qrow))
             code = ids.to_numpy(zero_copy_only=False) if pa.types.is_integer(ids.type) else np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False)))
-            parts += [pa.table({"query_id": names.take(pa.array(a)), "id": ids.take(pa.array(b)), "distance": pa.array(d)}) for a, b, d in _nearest(metric, q, x, code, k)]
+            parts += [pa.table({"query_id": names.take(pa.array(a)), "id": ids.take(pa.array(b)), "distance": pa.array(d)}) for a, b, d in _nearest(metric, q, x, code, k, radius)]
         return pa.concat_tables(parts) if parts else pa.table({"query_id": asked.column("query_id")[:0], "id": own.column("id")[:0], "distance": pa.array([], pa.float64())})
 
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(join, schema)
@@ -243,11 +249,12 @@ def range_search(
     vectors: DataFrame, queries: DataFrame, radius: float, metric: str = "euclidean",
     id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query",
 ) -> DataFrame:
-    """(query_id, id, distance) of all vectors within ``radius`` of a query."""
+    """(query_id, id, distance) of all vectors within ``radius`` of a query, by one matrix product a pair of blocks."""
+    if metric not in D.METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
     own = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("q"))
-    d = D.distance(metric, F.col("v"), F.col("q"))
-    return own.join(asked, F.size("v") == F.size("q")).select("query_id", "id", d.alias("distance")).where(F.col("distance") <= radius)
+    return _blocks(own, asked, 1, metric, radius)
 
 
 def recall(approx: DataFrame, exact: DataFrame) -> DataFrame:
