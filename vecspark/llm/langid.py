@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.llm import text as X
+from vecspark.operators.sampling import smallest_hashes
 
 TRAIN_ROWS, DIMS, LEAST_LETTERS = 2000, 4096, 30
 FAMILIES = {
@@ -132,8 +133,8 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """The model of a bounded sample: the ``rows`` labelled rows of the smallest hash of doc_id and text."""
-    known = docs.where("lang IS NOT NULL AND lang <> '' AND lang <> 'und' AND text IS NOT NULL AND text <> ''").select(F.col("doc_id").alias("d"), F.xxhash64("doc_id").alias("h"), F.col("lang").alias("lang"), F.col("text").alias("text"))
-    chosen = known.orderBy("h", "d", "text").limit(rows).select("lang", "text").mapInArrow(_sampled, "lang string, x binary, letters long").collect()
+    known = docs.where("lang IS NOT NULL AND lang <> '' AND lang <> 'und' AND text IS NOT NULL AND text <> ''").select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"), F.col("lang").alias("lang"), F.col("text").alias("text"))
+    chosen = smallest_hashes(known, F.col("h"), rows, docs.count()).orderBy("h", "d", "text").limit(rows).select("lang", "text").mapInArrow(_sampled, "lang string, x binary, letters long").collect()
     chosen = sorted((r for r in chosen if r.letters > 0), key=lambda r: (r.lang, bytes(r.x)))
     x = np.array([np.frombuffer(r.x, np.float16) for r in chosen], dtype=np.float32).reshape(-1, DIMS)
     return Model(x, [r.lang for r in chosen], np.array([r.letters for r in chosen]))
