@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.llm import text as X
+from vecspark.operators.sampling import smallest_hashes
 
 TRAIN_ROWS, THRESHOLD, FUZZY_FROM, COVER, GAIN, PRECISION, REPEATS, WEAK = 4000, 1.5, 5, 3, 5, 0.9, 3, 0.5
 TERMS = """idiot moron stupid pathetic worthless disgusting trash scum clown loser imbecile cretin dumbass bastard asshole
@@ -200,10 +201,10 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon:
     """Learns from a bounded sample: the ``rows`` labelled documents of the smallest hash of doc_id."""
     own = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = own.orderBy(F.xxhash64("id"), "id").limit(rows)
+    chosen = smallest_hashes(own, F.xxhash64("id"), rows)
     texts = X.id_text(docs).where("text IS NOT NULL").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("toxic", "text")
-    found = texts.mapInArrow(_vocabulary, "toxic int, tokens array<string>").collect()
-    return learn((r.tokens, r.toxic > 0) for r in sorted(found, key=lambda r: (r.toxic, r.tokens)))
+    found = texts.mapInArrow(_vocabulary, "toxic int, tokens array<string>").toArrow()
+    return learn((tokens.as_py(), is_toxic.as_py() > 0) for b in found.to_batches() for is_toxic, tokens in zip(*b.columns, strict=True))
 
 
 def toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
