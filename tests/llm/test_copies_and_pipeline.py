@@ -112,3 +112,26 @@ def test_signatures_do_not_depend_on_batches():
     every = simhash.signatures(whole, offs)
     one = np.concatenate([simhash.signatures(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts])
     assert (every == one).all()
+
+
+def test_all_of_unspaced_and_long_runs_counts(spark):
+    """Different texts that begin alike, in scripts without spaces and as one long token, are no copies; near copies of them are."""
+    rng = random.Random(3)
+    alphabets = {"ideographs": [chr(c) for c in range(0x4E00, 0x5A00)], "kana": [chr(c) for c in range(0x3041, 0x3097)], "thai": [chr(c) for c in range(0x0E01, 0x0E2F)], "hex": list("0123456789abcdef"), "letters": list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")}
+    rows, copies = [], {}
+    for name, letters in alphabets.items():
+        head = "".join(rng.choices(letters, k=6))
+        for _ in range(6):
+            text = head + "".join(rng.choices(letters, k=400))
+            rows += [(len(rows), text), (len(rows) + 1, text[:200] + letters[0] + text[201:])]
+            copies |= {len(rows) - 2: len(rows) - 2, len(rows) - 1: len(rows) - 2}
+    rows += [(900 + i, f"1234567{i}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert _groups(docs) == copies == _brute(docs)
+
+
+def test_signatures_of_long_texts_do_not_depend_on_slices(monkeypatch):
+    text = "".join(random.Random(1).choices("0123456789abcdef", k=5000)).encode()
+    whole = simhash.signatures(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    monkeypatch.setattr(simhash, "SLICE", 999)
+    assert (simhash.signatures(np.frombuffer(text, np.uint8), np.array([0, len(text)])) == whole).all()

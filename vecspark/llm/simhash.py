@@ -1,7 +1,9 @@
 """Operator 10: SimHash near-duplicates found by pigeonring filtering.
 
-*Signature.* A document's features are its token stems (first 6 bytes), weighted 1 + ln(count); signed random projections
-give three independent rings of 240 bits. *Near-duplicates* are documents that differ in at most 23 bits of some ring (one
+*Signature.* A document's features cover all of its text: stems (first 6 bytes) of tokens of Latin letters up to 24 bytes,
+other tokens up to 24 bytes whole, and of longer tokens and those in scripts of three bytes and more a character (Chinese,
+Japanese, Thai, ...), which may be whole sentences, all character n-grams (3 where there are ideographs or kana, else 6; 12
+in long tokens of other scripts). They are weighted 1 + ln(count); signed random projections give three independent rings of 240 bits. *Near-duplicates* are documents that differ in at most 23 bits of some ring (one
 ring alone misses a third of the copies with 15 % other words); groups are the connected components of that relation,
 and the smallest ``doc_id`` of a group is its representative.
 
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from vecspark.llm import text as X
 
 RINGS, SEGMENTS, WIDTH, LIMIT, CHAIN, STEM = 3, 12, 20, 23, 4, 6
+LONG, GRAM_IDEOGRAPHS, GRAM_OTHERS, GRAM_LONG = 24, 3, 6, 12
+SLICE = 1 << 18
 HALF = WIDTH // 2
 RING_BYTES = SEGMENTS * WIDTH // 8
 BYTES = RINGS * RING_BYTES
@@ -38,11 +42,39 @@ _SIGN = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(n
 _SALT = [X.U(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1)) for k in range(-(-BYTES // 8))]
 
 
+def _inside(mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many bytes of each span are in the mask."""
+    upto = np.concatenate([[0], np.cumsum(mask)])
+    return upto[end] - upto[start]
+
+
+def features(t: X.Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of every feature: stems, whole tokens and character n-grams."""
+    size = t.end - t.start
+    broad = _inside(t.low >= 0xE0, t.start, t.end) > 0
+    stemmed = _inside(X.DIGIT[t.low] | (t.low >= 0xCB), t.start, t.end) == 0
+    split = broad | (size > LONG)
+    end = np.where(stemmed & ~split, np.minimum(t.end, t.start + STEM), t.end)
+    row, start, end = [t.row[~split]], [t.start[~split]], [end[~split]]
+    some = np.flatnonzero(split)
+    if len(some):
+        ideographs = _inside((t.low >= 0xE3) & (t.low <= 0xE9) | (t.low >= 0xF0), t.start[some], t.end[some]) > 0
+        gram = np.where(ideographs, GRAM_IDEOGRAPHS, np.where(broad[some], GRAM_OTHERS, GRAM_LONG))
+        lead = np.append(np.flatnonzero((t.low & 0xC0) != 0x80), len(t.low))  # first bytes of the characters
+        a, b = np.searchsorted(lead, t.start[some]), np.searchsorted(lead, t.end[some])
+        n = np.maximum(1, b - a - gram + 1)
+        at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        row.append(np.repeat(t.row[some], n))
+        start.append(lead[at])
+        end.append(lead[np.minimum(at + np.repeat(gram, n), np.repeat(b, n))])
+    return np.concatenate(row), X.span_hash(t.low, np.concatenate(start), np.concatenate(end))
+
+
 def signatures(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Signatures, rows x BYTES, of one chunk of texts."""
     rows = len(offs) - 1
-    t = X.Tokens(buf, offs, STEM)
-    row, h = t.row, t.hash
+    t = X.Tokens(buf, offs)
+    row, h = features(t)
     bare = np.flatnonzero((np.diff(t.first) == 0) & (np.diff(offs) > 0))
     if len(bare):
         row = np.concatenate([row, bare])
@@ -54,13 +86,14 @@ def signatures(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     row = (key >> X.U(48)).astype(np.int64)
     weight = np.rint(16 * (1 + np.log(count)))  # whole numbers: sums are exact in any order
     key = key & X.U((1 << 48) - 1)
-    planes = np.stack([X.mix(key + s) for s in _SALT], axis=1).view(np.uint8)
-    out = np.empty((rows, BYTES), dtype=np.uint8)
-    base = row * 256
-    for b in range(BYTES):
-        hist = np.bincount(base + planes[:, b], weights=weight, minlength=rows * 256).reshape(rows, 256)
-        out[:, b] = np.packbits(hist @ _SIGN > 0, axis=1)[:, 0]
-    return out
+    total = np.zeros((BYTES, rows, 8))
+    for lo in range(0, len(key), SLICE):
+        part = slice(lo, lo + SLICE)
+        planes = np.stack([X.mix(key[part] + s) for s in _SALT], axis=1).view(np.uint8)
+        base = row[part] * 256
+        for b in range(BYTES):
+            total[b] += np.bincount(base + planes[:, b], weights=weight[part], minlength=rows * 256).reshape(rows, 256) @ _SIGN
+    return np.packbits(total > 0, axis=2)[:, :, 0].T.copy()
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
