@@ -135,3 +135,36 @@ def test_signatures_of_long_texts_do_not_depend_on_slices(monkeypatch):
     whole = simhash.signatures(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     monkeypatch.setattr(simhash, "SLICE", 999)
     assert (simhash.signatures(np.frombuffer(text, np.uint8), np.array([0, len(text)])) == whole).all()
+
+
+def test_recall_of_replaced_words_and_no_strangers(spark):
+    """Copies with words of other documents in place of 8, 12 and 16 % of their own; documents that share less stay apart."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(5)
+    texts = sorted(r["text"] for r in docs.where("text IS NOT NULL").collect() if len(r["text"].split()) >= 30)
+    pool = [w for t in rng.sample(texts, 300) for w in t.split()]
+    base = rng.sample(texts, 200)
+    rows = [(n, t) for n, t in enumerate(base)]
+    for k, share in enumerate((0.08, 0.12, 0.16), 1):
+        rows += [(1000 * k + n, " ".join(rng.choice(pool) if rng.random() < share else w for w in t.split())) for n, t in enumerate(base)]
+    sigs = {r["doc_id"]: np.frombuffer(bytes(r["sig"]), np.uint8).reshape(simhash.RINGS, -1) for r in simhash.signed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = [np.mean([np.bitwise_count(sigs[n] ^ sigs[1000 * k + n]).sum(axis=1).min() <= simhash.LIMIT for n in range(len(base))]) for k in (1, 2, 3)]
+    assert got[0] > 0.95 and got[1] > 0.85 and got[2] > 0.6
+    words = {r["doc_id"]: set(tokens(r["text"])) for r in docs.collect()}
+    assert all(len(words[d] & words[g]) > 0.5 * len(words[d] | words[g]) for d, g in _groups(docs).items() if len(words[d]) >= 30)
+
+
+def test_every_pair_within_the_limit_is_linked():
+    """Signatures of exactly LIMIT and LIMIT + 1 different bits, in any spread over the ring."""
+    rng = np.random.default_rng(8)
+    for far in (simhash.LIMIT, simhash.LIMIT + 1):
+        one = rng.integers(0, 2, (400, simhash.RING_BYTES * 8), dtype=np.uint8)
+        two = one.copy()
+        for r in two:
+            r[rng.choice(len(r), far, replace=False)] ^= 1
+        seg = simhash.segments(np.packbits(np.concatenate([one, two]), axis=1)).astype(np.uint32)
+        known = simhash.Components(len(seg))
+        cols = [(((s * 3 + part) << simhash.PART_BITS) | seg[:, s] >> shift & ((1 << width) - 1)) for s in range(simhash.SEGMENTS) for part, (shift, width) in enumerate(simhash.PARTS)]
+        simhash.link(np.concatenate(cols).astype(np.int64), np.tile(np.arange(len(seg)), len(cols)), np.tile(seg, (len(cols), 1)), known)
+        root = known.find(np.arange(len(seg)))
+        assert ((root[:400] == root[400:]) == (far == simhash.LIMIT)).all()

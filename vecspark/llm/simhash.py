@@ -3,26 +3,29 @@
 *Signature.* A document's features cover all of its text: stems (first 6 bytes) of tokens of Latin letters up to 24 bytes,
 other tokens up to 24 bytes whole, and of longer tokens and those in scripts of three bytes and more a character (Chinese,
 Japanese, Thai, ...), which may be whole sentences, all character n-grams (3 where there are ideographs or kana, else 6; 12
-in long tokens of other scripts). They are weighted 1 + ln(count); signed random projections give three independent rings of 240 bits. *Near-duplicates* are documents that differ in at most 23 bits of some ring (one
-ring alone misses a third of the copies with 15 % other words); groups are the connected components of that relation,
-and the smallest ``doc_id`` of a group is its representative.
-
-*Search, exact.* A ring has 12 segments of 20 bits. By the pigeonring principle any pair within 23 bits has
-a segment from which every chain of 1, 2, ... following segments stays within its proportional budget (1, 3, 5, 7, ...
-bits). A first segment differing in at most one bit agrees on its upper or its lower 10 bits, so each signature is sent
-to 72 buckets (ring, segment, half, 10 bits): a constant number of rows a document. Inside a bucket sorted by the other half,
-the partners with no or one different bit are found by binary search, pruned by the chain budgets and then checked on
-the full signature. Pairs already known to be connected are not compared again, so a group of n copies costs about n
-checks; nothing is capped. Equal signatures are merged beforehand.
+in long tokens of other scripts). They are weighted 1 + ln(count); signed random projections give three independent rings
+of 240 bits. *Near-duplicates* are documents that differ in at most 35 bits of some ring (the README has the shares of
+copies found by the share of other words); groups are the connected components of that relation, and the smallest
+``doc_id`` of a group is its representative.
+
+*Search, exact.* A ring has 12 segments of 20 bits. By the pigeonring principle any pair within 35 bits has
+a segment from which every chain of 1, 2, ... following segments stays within its proportional budget (2, 5, 8, 11, ...
+bits). A first segment differing in at most two bits agrees on one of three parts of it (7, 7 and 6 bits), so each signature
+is sent to 108 buckets (ring, segment, part, its bits): a constant number of rows a document. Inside a bucket a table of
+the other bits gives the partners of each of the 211 patterns of up to two bits, each pattern in the first part that it
+leaves alone; they are pruned by the chain budgets and then checked on the full signature. Pairs already known to be
+connected are not checked again; nothing is capped. Equal signatures are merged beforehand.
 
 Defined cases: null and empty texts belong to no group. A text without any token is one feature (the whole text). Rows
 without ``doc_id`` belong to no group. Rows repeated under one ``doc_id`` are one document. Other columns are ignored.
-Unrelated signatures meet with odds of 72 * 11 / 2 ** 20: for more than some 10 ** 8 documents raise ``WIDTH``.
+Unrelated signatures meet with odds of 36 * 211 / 2 ** 20, so the work of pruning grows with the square of the documents:
+raise ``WIDTH`` (with ``PARTS``) where that outweighs the rest, from some 10 ** 7 documents on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +34,11 @@ from pyspark.sql import functions as F
 
 from vecspark.llm import text as X
 
-RINGS, SEGMENTS, WIDTH, LIMIT, CHAIN, STEM = 3, 12, 20, 23, 4, 6
+RINGS, SEGMENTS, WIDTH, LIMIT, CHAIN, STEM = 3, 12, 20, 35, 4, 6
 LONG, GRAM_IDEOGRAPHS, GRAM_OTHERS, GRAM_LONG = 24, 3, 6, 12
 SLICE = 1 << 18
-HALF = WIDTH // 2
+PARTS = ((13, 7), (6, 7), (0, 6))  # shift and width of the parts of a segment
+PART_BITS, REST_BITS = max(w for _, w in PARTS), WIDTH - min(w for _, w in PARTS)
 RING_BYTES = SEGMENTS * WIDTH // 8
 BYTES = RINGS * RING_BYTES
 BUDGET = [length * LIMIT // SEGMENTS for length in range(1, SEGMENTS + 1)]
@@ -120,18 +124,47 @@ def segments(sig: np.ndarray) -> np.ndarray:
     return bits @ (1 << np.arange(WIDTH - 1, -1, -1, dtype=np.int64))
 
 
+def rest(x: np.ndarray, part: int) -> np.ndarray:
+    """The bits of segments without those of the part."""
+    shift, width = PARTS[part]
+    return (x >> (shift + width)) << shift | x & ((1 << shift) - 1)
+
+
+def _patterns(part: int) -> list[int]:
+    """The patterns of up to ``LIMIT // SEGMENTS`` bits that leave this part of a segment alone, but none before it; without the part."""
+    few = [sum(1 << b for b in bits) for n in range(LIMIT // SEGMENTS + 1) for bits in combinations(range(WIDTH), n)]
+    own = [[x >> shift & ((1 << width) - 1) for shift, width in PARTS] for x in few]
+    return [int(rest(x, part)) for x, parts in zip(few, own, strict=True) if not parts[part] and all(parts[:part])]
+
+
+def _raw(col: pa.Array, size: int) -> np.ndarray:
+    """Rows of a binary column whose values all have ``size`` bytes."""
+    if len(col) == 0:
+        return np.zeros((0, size), np.uint8)
+    start = np.frombuffer(col.buffers()[1], np.int32)[col.offset]
+    return np.frombuffer(col.buffers()[2], np.uint8)[start : start + len(col) * size].reshape(-1, size)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    n, size = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(size)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sig = np.array([np.frombuffer(x, np.uint8) for x in b.column(1).to_pylist()], dtype=np.uint8).reshape(-1, BYTES)
+        sig = _raw(b.column(1), BYTES)
         for ring in range(RINGS):
             own = np.ascontiguousarray(sig[:, ring * RING_BYTES : (ring + 1) * RING_BYTES])
-            seg, own = segments(own), pa.array([x.tobytes() for x in own], pa.binary())
+            seg, own = segments(own), _binary(own)
             for s in range(SEGMENTS):
-                for half, part in ((0, seg[:, s] >> HALF), (1, seg[:, s] & ((1 << HALF) - 1))):
-                    bucket = (((ring * SEGMENTS + s) * 2 + half) << HALF) | part
+                for part, (shift, width) in enumerate(PARTS):
+                    bucket = ((ring * SEGMENTS + s) * len(PARTS) + part) << PART_BITS | seg[:, s] >> shift & ((1 << width) - 1)
                     yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), b.column(0), own], names=["bucket", "id", "sig"])
 
 
+_PATTERNS = [_patterns(part) for part in range(len(PARTS))]
+
+
 class Components:
     """Union-find over 0..n-1 in NumPy; the root is the smallest member."""
 
@@ -155,8 +188,8 @@ class Components:
             np.minimum.at(self.parent, np.maximum(ra, rb), np.minimum(ra, rb))
 
 
-def _within(seg: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the pairs a, b stay within the budgets of the chain from segment ``at`` on, and within LIMIT in all."""
+def _within(seg: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, node: np.ndarray, known: Components) -> np.ndarray:
+    """Which of the pairs a, b, unless known to be connected, stay within the budgets of the chain from segment ``at`` on, and within LIMIT in all."""
     keep = np.arange(len(a))
     total = np.zeros(len(a), dtype=np.int64)
     for length in range(SEGMENTS):
@@ -164,29 +197,46 @@ def _within(seg: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np
         total = total + np.bitwise_count(seg[a[keep], s] ^ seg[b[keep], s])
         if length < CHAIN:
             ok = total <= BUDGET[length]
+            if length == 1:
+                ok[ok] = known.find(node[a[keep[ok]]]) != known.find(node[b[keep[ok]]])
             keep, total = keep[ok], total[ok]
     return keep[total <= LIMIT]
 
 
-def link(bucket: np.ndarray, node: np.ndarray, seg: np.ndarray, known: Components, block: int = 1 << 19) -> None:
-    """Connects, in ``known``, the nodes of near signatures that share a bucket."""
-    half = (bucket >> HALF) & 1
-    s = (bucket >> (HALF + 1)) % SEGMENTS
-    own = seg[np.arange(len(s)), s]
-    rest = np.where(half == 0, own & ((1 << HALF) - 1), own >> HALF)
-    key = (bucket.astype(np.int64) << HALF) | rest
-    order = np.argsort(key, kind="stable")
-    key, node, s, half, seg = key[order], node[order], s[order], half[order], seg[order]
-    everyone = np.arange(len(key))
-    for bit in range(-1, HALF):
-        if bit < 0:
-            who = np.flatnonzero(half == 0)  # equal segments meet in the upper half's bucket
-            lo, hi = who + 1, np.searchsorted(key, key[who], "right")
+def link(bucket: np.ndarray, node: np.ndarray, seg: np.ndarray, known: Components, block: int = 1 << 19, together: int = 64) -> None:
+    """Connects, in ``known``, the nodes of near signatures that share a bucket; ``together`` buckets share a table."""
+    part = (bucket >> PART_BITS) % len(PARTS)
+    s = (bucket >> PART_BITS) // len(PARTS) % SEGMENTS
+    own = seg[np.arange(len(s)), s].astype(np.int64)
+    for p in range(len(PARTS)):
+        mine = np.flatnonzero(part == p)
+        names, number, size = np.unique(bucket[mine], return_inverse=True, return_counts=True)
+        mine, number = mine[size[number] > 1], number[size[number] > 1]
+        key = number << REST_BITS | rest(own[mine], p)
+        order = np.argsort(key, kind="stable")
+        key, mine = key[order], mine[order]
+        for lo in range(0, len(names), together):
+            i, j = np.searchsorted(key, [lo << REST_BITS, (lo + together) << REST_BITS])
+            if j - i > 1:
+                _join(key[i:j] - (lo << REST_BITS), min(together, len(names) - lo) << REST_BITS, p, node[mine[i:j]], s[mine[i:j]], seg[mine[i:j]], known, block)
+
+
+def _join(key: np.ndarray, keys: int, part: int, node: np.ndarray, s: np.ndarray, seg: np.ndarray, known: Components, block: int) -> None:
+    """``link`` of some buckets whose rows are sorted by ``key`` (bucket, other bits), a number under ``keys``."""
+    start = np.zeros(keys + 1, dtype=np.int32)
+    np.cumsum(np.bincount(key, minlength=keys), out=start[1:])
+    everyone = np.arange(len(key), dtype=np.int32)
+    after = seg[everyone, (s + 1) % SEGMENTS]
+    for x in _PATTERNS[part]:
+        if x == 0:
+            who, lo, hi = everyone, everyone + 1, start[key + 1]
         else:
-            who = everyone[(key >> bit) & 1 == 0]
-            lo, hi = np.searchsorted(key, key[who] ^ (1 << bit), "left"), np.searchsorted(key, key[who] ^ (1 << bit), "right")
+            who = everyone[key >> (x.bit_length() - 1) & 1 == 0]  # each pair once
+            to = key[who] ^ x
+            lo, hi = start[to], start[to + 1]
         n = hi - lo
-        who, lo, n = who[n > 0], lo[n > 0], n[n > 0]
+        some = np.flatnonzero(n > 0)
+        who, lo, n = who[some], lo[some], n[some]
         wide = n > 64
         for i, first, size in zip(who[wide], lo[wide], n[wide], strict=True):
             root = known.find(node[i : i + 1])[0]
@@ -194,19 +244,20 @@ def link(bucket: np.ndarray, node: np.ndarray, seg: np.ndarray, known: Component
             there = there[known.find(node[there]) != root]
             if len(there):
                 me = np.full(len(there), i)
-                ok = _within(seg, np.full(len(there), s[i]), me, there)
+                ok = _within(seg, np.full(len(there), s[i]), me, there, node, known)
                 known.union(node[me[ok]], node[there[ok]])
-        who, lo, n = who[~wide], lo[~wide], n[~wide]
-        ends = np.cumsum(n)
+        if wide.any():
+            who, lo, n = who[~wide], lo[~wide], n[~wide]
+        ends = np.cumsum(n, dtype=np.int64)
         i = 0
         while i < len(who):
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + block, "right")))
             size = n[i:j]
             a = np.repeat(who[i:j], size)
-            b = np.repeat(lo[i:j], size) + np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size)
-            new = known.find(node[a]) != known.find(node[b])
-            a, b = a[new], b[new]
-            ok = _within(seg, s[a], a, b)
+            b = np.repeat(lo[i:j] - (ends[i:j] - size - (ends[i - 1] if i else 0)).astype(np.int32), size) + np.arange(len(a), dtype=np.int32)
+            ok = np.flatnonzero(np.bitwise_count(np.repeat(after[who[i:j]], size) ^ after[b]) <= BUDGET[1] - x.bit_count())
+            a, b = a[ok], b[ok]
+            ok = _within(seg, s[a], a, b, node, known)
             known.union(node[a[ok]], node[b[ok]])
             i = j
 
@@ -216,13 +267,12 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         bucket.append(np.asarray(b.column(0)))
         ids.append(np.asarray(b.column(1)))
-        sig.append(np.array([np.frombuffer(x, np.uint8) for x in b.column(2).to_pylist()], dtype=np.uint8).reshape(-1, RING_BYTES))
+        sig.append(segments(_raw(b.column(2), RING_BYTES)).astype(np.uint32))
     if not bucket:
         return
     every, node = np.unique(np.concatenate(ids), return_inverse=True)
-    seg = np.concatenate([segments(x).astype(np.uint32) for x in sig])
     known = Components(len(every))
-    link(np.concatenate(bucket).astype(np.int64), node, seg, known)
+    link(np.concatenate(bucket).astype(np.int64), node, np.concatenate(sig), known)
     root = known.find(np.arange(len(every)))
     other = np.flatnonzero(root != np.arange(len(every)))
     yield pa.RecordBatch.from_arrays([pa.array(every[other]), pa.array(every[root[other]])], names=["a", "b"])
