@@ -220,3 +220,9 @@ def test_toxicity_of_held_out_labels(spark):
     held = {r["doc_id"]: r["toxic"] for r in labels.where("doc_id % 2 = 1").collect()}
     bad, good = {d for d, t in held.items() if t}, {d for d, t in held.items() if not t}
     assert len(found & bad) > 0.9 * len(bad) and len(found & good) < 0.02 * len(good)
+
+
+def test_misspelled_learned_words_and_stems():
+    lexicon = toxicity.Lexicon(["blimtag"], ["quorvex"])
+    text = b"quorvx quorvvex qorvex blmtagende blimtqger"
+    assert [h[2] for h in lexicon.hits(np.frombuffer(text, np.uint8), np.array([0, len(text)]))] == [True] * 5

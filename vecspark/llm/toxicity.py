@@ -1,7 +1,7 @@
 """Operator 9: toxic documents, by Levenshtein automata intersected with a lexicon trie.
 
-The lexicon has common terms of abuse (terms of five bytes and more also match at one edit) and stems learned from the
-table of labels. Tries of both are intersected with the Levenshtein automaton once, on the driver, giving one
+The lexicon has common terms of abuse and words and stems learned from the table of labels; all of five bytes and more,
+but weak stems and stems one edit from the beginning of a word of a clean row, also match at one edit. Tries of both are intersected with the Levenshtein automaton once, on the driver, giving one
 deterministic automaton over bytes; all tokens of a batch step through it together, most leave it within a few bytes.
 
 *Score.* A hit counts 1, misspelled 0.75; where its context is quotation (it stands inside quotation marks, or a word
@@ -43,12 +43,12 @@ QUOTES = "\"“”„«»‘"
 
 
 class Automaton:
-    """All strings within one edit of a fuzzy term, equal to an exact term, or beginning with a stem or weak stem."""
+    """All strings within one edit of a fuzzy term, equal to an exact term, beginning with a stem or weak stem, or within one edit of such a beginning with a fuzzy stem."""
 
-    def __init__(self, fuzzy: Iterable[str], exact: Iterable[str], stems: Iterable[str], weak: Iterable[str] = ()):
-        children: list[dict[int, int]] = [{}, {}, {}, {}]
+    def __init__(self, fuzzy: Iterable[str], exact: Iterable[str], stems: Iterable[str], weak: Iterable[str] = (), fuzzy_stems: Iterable[str] = ()):
+        children: list[dict[int, int]] = [{}, {}, {}, {}, {}]
         ends: dict[int, str] = {}
-        for root, words in enumerate((fuzzy, exact, stems, weak)):
+        for root, words in enumerate((fuzzy, exact, stems, weak, fuzzy_stems)):
             for w in sorted(set(words)):
                 node = root
                 for c in w.encode():
@@ -57,7 +57,7 @@ class Automaton:
                         children.append({})
                     node = children[node][c]
                 ends[node] = w
-        kind = [0, 1, 2, 3] + [0] * (len(children) - 4)
+        kind = [0, 1, 2, 3, 4] + [0] * (len(children) - 5)
         for node, own in enumerate(children):
             for child in own.values():
                 kind[child] = kind[node]
@@ -69,14 +69,14 @@ class Automaton:
             todo = list(states)
             while todo:  # deletions
                 node, e = todo.pop()
-                if kind[node] == 0 and e == 0:
+                if kind[node] in (0, 4) and e == 0:
                     for child in children[node].values():
                         if (child, 1) not in states:
                             states.add((child, 1))
                             todo.append((child, 1))
             return frozenset(states)
 
-        start = closed({(0, 0), (1, 0), (2, 0), (3, 0)})
+        start = closed({(0, 0), (1, 0), (2, 0), (3, 0), (4, 0)})
         index, todo, rows = {start: 0}, [start], []
         while todo:
             now = todo.pop(0)
@@ -88,7 +88,7 @@ class Automaton:
                         to.add((node, e))  # whatever follows a stem
                     if c in children[node]:
                         to.add((children[node][c], e))
-                    if kind[node] == 0 and e == 0:
+                    if kind[node] in (0, 4) and e == 0:
                         to.add((node, 1))
                         to |= {(child, 1) for own, child in children[node].items() if own != c}
                 key = closed(to)
@@ -117,10 +117,12 @@ class Automaton:
 
 
 class Lexicon:
-    def __init__(self, stems: Iterable[str] = (), words: Iterable[str] = (), benign: Iterable[str] = (), weak: Iterable[str] = ()):
+    def __init__(self, stems: Iterable[str] = (), words: Iterable[str] = (), benign: Iterable[str] = (), weak: Iterable[str] = (), firm: Iterable[str] = ()):
         self.stems, self.words, self.weak, self.benign = sorted(stems), sorted(words), sorted(weak), BENIGN | set(benign)
-        terms = set(TERMS)
-        self.automaton = Automaton([w for w in terms if len(w.encode()) >= FUZZY_FROM], [w for w in terms if len(w.encode()) < FUZZY_FROM] + self.words, self.stems, self.weak)
+        long = lambda w: len(w.encode()) >= FUZZY_FROM
+        terms = set(TERMS) | set(self.words)
+        fuzzy = {w for w in self.stems if long(w)} - set(firm)
+        self.automaton = Automaton(filter(long, terms), [w for w in terms if not long(w)], set(self.stems) - fuzzy, self.weak, fuzzy)
 
     def hits(self, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, str, bool, bool, float]]:
         """(row, term, misspelled, quoted, weight) of every hit."""
@@ -173,12 +175,18 @@ def learn(rows: Iterable[tuple[list[str], bool]]) -> Lexicon:
         stem, weak = f.rstrip("*#"), f[-1] == "#"
         related = lambda x, stem=stem: x.startswith(stem) or stem.startswith(x.rstrip("*#"))
         good = {x: d for x, d in good.items() if gain[x] >= GAIN and not (related(x) and (x[-1] == "#" or not weak))}
-    lexicon = Lexicon([f[:-1] for f in taken if f[-1] == "*"], [f for f in taken if f[-1] not in "*#"], (), [f[:-1] for f in taken if f[-1] == "#"])
     words = sorted(w for w in clean_tokens if w)
     text = " ".join(words).encode()
     size = [len(w.encode()) for w in words]
     end = np.cumsum(np.array(size, dtype=np.int64) + 1) - 1 if words else np.zeros(0, np.int64)
-    state = lexicon.automaton.run(np.frombuffer(text, np.uint8), end - np.array(size, dtype=np.int64), end)
+    firm: set[str] = set()
+    while True:
+        lexicon = Lexicon([f[:-1] for f in taken if f[-1] == "*"], [f for f in taken if f[-1] not in "*#"], (), [f[:-1] for f in taken if f[-1] == "#"], firm)
+        state = lexicon.automaton.run(np.frombuffer(text, np.uint8), end - np.array(size, dtype=np.int64), end)
+        met = {lexicon.automaton.term[k] for k in state[lexicon.automaton.edits[state] == 1]} & set(lexicon.stems) - firm
+        if not met:
+            break
+        firm |= met
     lexicon.benign = lexicon.benign | {words[k] for k in np.flatnonzero(lexicon.automaton.edits[state] == 1)}
     return lexicon
 
