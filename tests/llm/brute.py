@@ -40,7 +40,7 @@ def passages(docs: dict[int, str], items: dict[int, str], window: int = 13, off:
     return found
 
 
-def deduplicated(docs: dict[int, str | None], words: int = 25) -> dict[int, str | None]:
+def deduplicated(docs: dict[int, str | None], words: int = 50) -> dict[int, str | None]:
     """Texts without the lines of repeated runs: of any stretch of lines of so many words that came before."""
     seen: dict[tuple, tuple] = {}
     stretches = []

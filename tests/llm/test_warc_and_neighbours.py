@@ -22,7 +22,7 @@ def test_url_keys(spark):
     assert {r["u"]: r["k"] for r in got} == KEYS
 
 
-@pytest.mark.parametrize("name", ["op3_warc", "op4_neighbours", "op6_licenses"])
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_its_sql(spark, sf_dir, name):
     assert differences(queries.queries()[name](spark, sf_dir), queries.oracle_sql()[name], sf_dir) == []
 

@@ -1,19 +1,23 @@
-"""Operator 2: repeated runs of lines are deleted wherever they come up again.
+"""Operator 2: repeated runs of lines are deleted wherever they come up again, found by winnowing over line hashes.
 
 Lines (split at ``\\n``, compared without surrounding white space; blank lines are transparent) form a sequence of hashes.
-A *repeated run* is a sequence of lines of ``WORDS`` (25) words or more in all that equals an earlier one, where earlier
+A *repeated run* is a sequence of lines of ``WORDS`` (50) words or more in all that equals an earlier one, where earlier
 means a smaller (doc_id, line). All its lines, and blank lines among them, are deleted; the first occurrence stays.
 
-*Search, exact.* Windows are winnowed by words instead of by lines: from each line on, the shortest stretch that reaches
-25 words, and up to each line the shortest stretch that does. Each repeated run holds such windows, and each of its lines
-is in one of them, so windows are guaranteed fingerprints: the forward ones find the run, the backward ones extend it
-over the lines after its last forward window. A window is known by the hash of all its lines, not by its smallest line
-hash alone: a common line that is the minimum of thousands of windows would pair all of those with each other, and the
-first position of a minimum need not be the first position of the whole run. Positions are joined with the first one of
-their window in one pass over rows (hash, doc_id, line, line), linear in the lines of the corpus.
-
-Defined cases: null and empty texts stay as they are; rows without ``doc_id`` are neither compared nor changed; rows
-repeated under one ``doc_id`` are one document and stay alike; other columns are kept as they are, whatever their names.
+*Search, exact.* 1. Winnowing: a window is a shortest stretch of lines that reaches ``WORDS``, from any line on and up to
+any line (cut by words, because lines differ in length); the smallest line hash of a window is selected, lines of under
+``SHORT`` words last. Equal runs have equal windows, so they share a selected minimum: the minima are guaranteed
+fingerprints. 2. Positions are joined by the minimum: those of a line selected in one place only are out. 3. Around each
+position that is left, the match is extended both ways: every stretch about the minimum that makes a window is compared,
+by a second hash over all its lines, with the first place in the corpus that has it; where that place is earlier, its
+lines repeat. All lines of a run are in such windows, so the union of them is the whole run. 4. The runs are cut.
+A line that is the minimum of thousands of windows never pairs them with each other: both joins are against one
+row per hash, made by partial aggregation, so that hot lines can be split and the work is linear in the corpus' lines.
+
+Defined cases: null and empty texts stay as they are; texts of any length are compared whole; an empty table gives an
+empty one; rows without ``doc_id`` are neither compared nor changed; rows repeated under one ``doc_id`` are one document
+and stay alike; of equal runs the one of the smallest (doc_id, line) stays, so there are no ties; other columns are kept
+as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from vecspark.llm import text as X
 
-WORDS = 25
+WORDS, SHORT = 50, 5
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -45,8 +49,8 @@ def lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[new], number[new], X.span_hash(buf, w0[new], w1[last]), last - new + 1
 
 
-def windows(row: np.ndarray, h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first line, last line, hash) of all windows, as indexes of the lines given."""
+def windows(row: np.ndarray, h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first line, last line, line of the smallest hash, hash of all lines) of all windows; lines are indexes of those given."""
     n = len(row)
     cw = np.concatenate([[0], np.cumsum(words)])
     begin, end = np.searchsorted(row, row, "left"), np.searchsorted(row, row, "right")
@@ -58,9 +62,16 @@ def windows(row: np.ndarray, h: np.ndarray, words: np.ndarray) -> tuple[np.ndarr
     a, b = np.concatenate([i[fwd], s[back]]), np.concatenate([j[fwd] - 1, i[back]])
     key = np.unique(a * (n + 1) + b)
     a, b = key // (n + 1), key % (n + 1)
-    pw, inv = X._powers(n + 1)
-    cs = np.concatenate([np.zeros(1, X.U), np.cumsum(h * pw[:n], dtype=X.U)])
-    return a, b, X.mix((cs[b + 1] - cs[a]) * inv[a] + X.U(1))
+    order = (h >> X.U(1)) | ((words < SHORT).astype(X.U) << X.U(63))
+    least, whole = a.copy(), X.mix((b - a + 1).astype(X.U))
+    at, on = a.copy(), np.arange(len(a))
+    while len(on):  # line by line; a window has at most WORDS of them
+        whole[on] = X.mix(whole[on] ^ h[at[on]]) * X.U(X._BASE)
+        smaller = on[order[at[on]] < order[least[on]]]
+        least[smaller] = at[smaller]
+        at[on] += 1
+        on = on[at[on] <= b[on]]
+    return a, b, least, whole
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,16 +80,21 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buf, offs = X.utf8(batch.column(1))
         for i, j in X.chunks(offs):
             row, number, h, words = lines(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            a, b, key = windows(row, h, words)
-            cols = [pa.array(key.view(np.int64)), pa.array(ids[i + row[a]]), pa.array(number[a].astype(np.int32)), pa.array(number[b].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "first", "last"])
+            a, b, least, key = windows(row, h, words)
+            cols = [h[least].view(np.int64), number[least].astype(np.int32), key.view(np.int64), ids[i + row[a]], number[a].astype(np.int32), number[b].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["mark", "at", "key", "doc_id", "first", "last"])
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, first, last): disjoint runs of raw lines to delete."""
-    found = X.id_text(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_scan, "key long, doc_id long, first int, last int")
-    place = F.struct("doc_id", "first")
-    later = found.withColumn("origin", F.min(place).over(Window.partitionBy("key"))).where(place > F.col("origin")).select("doc_id", "first", "last")
+    found = X.id_text(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_scan, "mark long, at int, key long, doc_id long, first int, last int")
+    found = X.stored(found, "windows")
+    place = F.struct("doc_id", "at")
+    marks = found.groupBy("mark").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("mark")
+    around = found.join(marks, "mark", "left_semi").select("key", "doc_id", "first", "last")
+    start = F.struct("doc_id", "first")
+    origin = around.groupBy("key").agg(F.min(start).alias("p"), F.max(start).alias("q")).where("p <> q").select("key", F.col("p").alias("origin"))
+    later = around.join(origin, "key").where(start > F.col("origin")).select("doc_id", "first", "last")
     so_far = Window.partitionBy("doc_id").orderBy("first", "last")
     island = later.distinct().withColumn("reach", F.max("last").over(so_far.rowsBetween(Window.unboundedPreceding, -1)))
     island = island.withColumn("n", F.sum(F.when(F.col("first") <= F.col("reach") + 1, 0).otherwise(1)).over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
@@ -98,3 +114,21 @@ def cleaned(docs: DataFrame) -> DataFrame:
 def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return cleaned(docs).withColumnRenamed("__cut_lines", "lines_removed")
+
+
+_SPACES = r"chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+ORACLE = f"""
+WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, n, trim(line, {_SPACES}) AS s FROM raw WHERE trim(line, {_SPACES}) <> ''),
+c AS (SELECT doc_id, n, s, len(regexp_split_to_array(s, '[\\t\\x0b\\x0c\\r ]+')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i FROM t),
+cw AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY n) AS upto FROM c),
+whole AS (SELECT doc_id, list(s ORDER BY i) AS own FROM c GROUP BY 1),
+pairs AS (SELECT a.doc_id, a.n AS first, b.n AS last, a.i AS i, b.i AS j FROM cw a JOIN cw b ON a.doc_id = b.doc_id AND a.i <= b.i AND b.upto - a.upto + a.w >= {WORDS}
+  AND (b.upto - b.w - a.upto + a.w < {WORDS} OR b.upto - a.upto < {WORDS})),
+keyed AS (SELECT p.doc_id, first, last, own[i:j] AS key FROM pairs p JOIN whole USING (doc_id)),
+origin AS (SELECT key, min((doc_id, first)) AS o FROM keyed GROUP BY key),
+later AS (SELECT doc_id, first, last FROM keyed JOIN origin USING (key) WHERE (doc_id, first) > o),
+cut AS (SELECT DISTINCT r.doc_id, r.n FROM raw r JOIN later l ON r.doc_id = l.doc_id AND r.n BETWEEN l.first AND l.last),
+kept AS (SELECT r.doc_id, string_agg(r.line, chr(10) ORDER BY r.n) FILTER (WHERE cut.n IS NULL) AS left_over, count(cut.n) AS gone FROM raw r LEFT JOIN cut ON r.doc_id = cut.doc_id AND r.n = cut.n GROUP BY 1)
+SELECT d.doc_id, CASE WHEN coalesce(gone, 0) = 0 THEN text ELSE coalesce(left_over, '') END AS text, CAST(coalesce(gone, 0) AS INTEGER) AS lines_removed
+FROM documents d LEFT JOIN kept USING (doc_id)"""

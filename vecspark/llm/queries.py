@@ -11,4 +11,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE, "op4_neighbours": neighbours.ORACLE, "op6_licenses": licenses.oracle()}
+    return {"op2_linededup": linededup.ORACLE, "op3_warc": warc.ORACLE, "op4_neighbours": neighbours.ORACLE, "op6_licenses": licenses.oracle()}

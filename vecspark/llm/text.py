@@ -13,10 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
+LONG_SPAN = 64
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -29,6 +31,7 @@ WORD[48:58] = WORD[97:123] = WORD[65:91] = True
 WORD[128:] = True
 DIGIT = np.zeros(256, dtype=bool)
 DIGIT[48:58] = True
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)  # the first k of eight bytes
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,29 +120,35 @@ def runs(mask: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
-def span_hash(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, by prefix sums of a polynomial: one pass for all spans."""
-    n = len(low)
-    pw, inv = _powers(n + 1)
-    cs = np.empty(n + 1, dtype=U)
-    cs[0] = 0
-    v = low.astype(U)
-    v += U(1)
-    v *= pw[:n]
-    np.cumsum(v, out=cs[1:])
-    return mix((cs[ends] - cs[starts]) * inv[starts])
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: eight bytes of all spans at a time are mixed in; spans over ``LONG_SPAN`` bytes one by one.
+
+    Every step is a bijection of the state, so no family of strings collides by its structure."""
+    size = ends - starts
+    h = mix(size.astype(U) + U(_BASE))
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    alive = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    at, left, state = starts[alive], size[alive], h[alive]
+    while len(alive):
+        state = mix(state ^ (words[at] & _HEAD[np.minimum(left, 8)])) * U(_BASE)
+        more = left > 8
+        h[alive[~more]] = state[~more]
+        alive, at, left, state = alive[more], at[more] + 8, left[more] - 8, state[more]
+    for k in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(padded[starts[k] : ends[k]])
+    return h
 
 
 class Tokens:
     """Tokens of one chunk: hash, row, byte start and end; ``first[r]:first[r + 1]`` are those of row r."""
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, prefix: int = 0):
+    def __init__(self, buf: np.ndarray, offs: np.ndarray):
         self.low = lower(buf)
         self.start, self.end = runs(word_mask(buf), offs)
         self.row = np.searchsorted(offs, self.start, "right") - 1
         self.first = np.searchsorted(self.start, offs)
-        end = np.minimum(self.end, self.start + prefix) if prefix else self.end
-        self.hash = span_hash(self.low, self.start, end)
+        self.hash = span_hash(self.low, self.start, self.end)
 
 
 def token_hashes(text: str) -> np.ndarray:
@@ -162,22 +171,40 @@ def batch(rows: int, schema: pa.Schema, cols: dict) -> pa.RecordBatch:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; outside a cluster, where none is set, a folder of this application's own."""
+    """The folder all executors share. Only in local mode, where there are no other machines, may it be unset: then it lies in the warehouse."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at is None:
-        at = _local.setdefault("dir", f"{spark.conf.get('spark.sql.warehouse.dir', 'spark-warehouse').removeprefix('file:')}/checkpoints")
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = f"{spark.conf.get('spark.sql.warehouse.dir', 'spark-warehouse').removeprefix('file:')}/checkpoints"
     return at
 
 
-_local: dict[str, str] = {}
+def _filesystem(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage, survives the loss of any executor."""
+    """``df`` written to the shared folder and read again: cuts lineage, survives the loss of any executor.
+
+    The folder goes with ``discard``, or when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    system, at = _filesystem(spark, path)
+    system.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what ``stored`` wrote, once nothing reads it any more; other frames are left alone."""
+    for df in frames:
+        if path := getattr(df, "stored_at", None):
+            system, at = _filesystem(df.sparkSession, path)
+            system.delete(at, True)
 
 
 def id_text(docs: DataFrame) -> DataFrame:
