@@ -8,10 +8,14 @@ each pattern's probability; these soft labels train the final span classifier, a
 Both models work on counts of distinct patterns (at most some thousand rows, however large the corpus), so they see every
 document. Spans of probability 0.5 and more are returned.
 
-The texts are scanned once, whole, and candidates written to the shared folder; only the surroundings of digits, ``@`` and
-key prefixes reach Python code. Spans are character positions, ``text[start:stop]``.
-
-Defined cases: null and empty texts and rows without ``doc_id`` give nothing; of overlapping candidates the first kind in
+The texts are scanned once, whole, in time linear in their bytes, and candidates written to the shared folder; only the
+surroundings of digits, ``@`` and key prefixes reach Python code. No candidate has an upper length but by its definition
+(card, telephone, social security and account numbers); the words before are those of the ``BEFORE`` (96) characters before,
+in the same line. Numbers in groups parted by spaces only count as telephone or social security numbers where a word
+before says so, or the other labelers do. Spans are character positions, ``text[start:stop]``.
+
+Defined cases: null and empty texts and rows without ``doc_id`` give nothing; an empty table gives an empty result; texts
+and single words of any length are read whole; of overlapping candidates the first kind in
 ``KINDS``, then the leftmost, wins; repeated rows give their spans once; no candidates at all give an empty result; other
 columns are ignored.
 """
@@ -28,19 +32,28 @@ from pyspark.sql import functions as F
 
 from vecspark.llm import text as X
 
-KINDS = ("email", "secret", "ip", "phone", "ssn", "card", "number")
+KINDS = ("email", "iban", "secret", "ip", "phone", "ssn", "card", "number")
 CANDIDATES = (
-    re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*"),
-    re.compile(r"(?<![0-9A-Za-z_-])(?:AKIA[0-9A-Z]{12,20}|gh[pousr]_[0-9A-Za-z]{20,80}|sk-[0-9A-Za-z_-]{20,80}|(?=[A-Za-z]*\d)(?=\d*[A-Za-z])[0-9A-Za-z]{24,128})(?![0-9A-Za-z_-])"),
+    re.compile(r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*"),
+    re.compile(r"(?<![0-9A-Za-z_-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z_-])"),
+    re.compile(
+        r"(?<![0-9A-Za-z_-])(?:AKIA[0-9A-Z]{12,}|gh[pousr]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z_-]{20,}|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"
+        r"|(?=[A-Za-z]*\d)(?=\d*[A-Za-z])[0-9A-Za-z]{24,})(?![0-9A-Za-z_-])"
+        r"|(?<![0-9A-Za-z_+/.-])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])(?=[A-Za-z+/_-]*\d)[0-9A-Za-z+/_-]{32,}={0,2}(?![0-9A-Za-z_+/=-])"
+    ),
     re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)"),
-    re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{2,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
-    re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
+    re.compile(
+        r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{2,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
+        r"|(?<![\w+.-])(?<!\d )(?:\d{3} \d{3} \d{4}|0\d(?: \d{2}){4})(?![\w-]| \d|\.\d)"
+    ),
+    re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])|(?<![\w.-])(?<!\d )\d{3} \d{2} \d{4}(?![\w-]| \d|\.\d)"),
     re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"),
     re.compile(r"(?<![\w.])\d{5,}(?!\w|\.\d)"),
 )
 STRICT = (
     re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"),
-    re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z_-]{20,}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}"),
+    re.compile(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}|[A-Z]{2}\d{2}(?: [A-Z0-9]{4})+(?: [A-Z0-9]{1,4})?"),
+    re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z_-]{20,}|eyJ[^.]+\.[^.]+\.[^.]+|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}"),
     re.compile(r"\d{1,3}(?:\.\d{1,3}){3}"),
     re.compile(r"(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{8,15}"),
     re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"),
@@ -52,13 +65,13 @@ CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51
 CUES = {
     "email": "email e-mail mail contact write", "secret": "token secret key apikey api_key password passwd credential bearer aws",
     "ip": "ip address host server from login", "phone": "phone tel telephone call fax mobile cell telefon tél teléfono",
-    "ssn": "ssn social security", "card": "card visa mastercard credit amex karte carte tarjeta", "number": "account passport iban konto cuenta",
+    "ssn": "ssn social security", "iban": "iban account konto cuenta compte bank", "card": "card visa mastercard credit amex karte carte tarjeta", "number": "account passport iban konto cuenta",
 }
 AGAINST = frozenset("version release isbn order page section chapter figure build commit revision rev sha md5 checksum v".split())
-N_LABELERS, N_FEATURES = 5, 20
+N_LABELERS, N_FEATURES, BEFORE = 5, 21, 96
 SCHEMA = "doc_id long, start long, stop long, kind string, span string, votes int, features int"
 _CUES = {k: frozenset(v.split()) for k, v in CUES.items()}
-PREFIX = re.compile(rb"AKIA|gh[pousr]_|sk-")
+PREFIX = re.compile(rb"AKIA|gh[pousr]_|sk-|eyJ")
 _WORD = re.compile(r"[^\W\d_]+|[^\W_][\w-]*")
 
 
@@ -70,6 +83,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def mod97(span: str) -> bool:
+    """The checksum of account numbers."""
+    own = span.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in own[4:] + own[:4])) % 97 == 1
+
+
 def judge(kind: int, span: str, before: str) -> tuple[list[int], list[bool]]:
     """Votes (1 personal, 0 not, 2 abstains) of the labelers, and the features of the final classifier."""
     name, digits = KINDS[kind], re.sub(r"\D", "", span)
@@ -77,6 +96,8 @@ def judge(kind: int, span: str, before: str) -> tuple[list[int], list[bool]]:
     cues = {w.lower() for w in _WORD.findall(before)[-4:]}
     cue, against = bool(cues & _CUES[name]), bool(cues & AGAINST)
     check = known = 2
+    if name in ("phone", "ssn") and re.fullmatch(r"[\d ]+", span):
+        strict = cue  # numbers in a row are no evidence by their form alone
     if name == "card":
         check = int(luhn(digits))
         known = int(digits[0] in "3456") if digits else 0
@@ -91,8 +112,10 @@ def judge(kind: int, span: str, before: str) -> tuple[list[int], list[bool]]:
         known = int(code[1] in CODES) if code else 2
         check = int(7 <= len(digits) <= 15)
     elif name == "secret":
-        known = 1 if re.match(r"AKIA|gh[pousr]_|sk-", span) else 2
+        known = 1 if re.match(r"AKIA|gh[pousr]_|sk-|eyJ", span) else 2
         check = int(len(set(span.lower())) >= 8)
+    elif name == "iban":
+        check = 1
     elif name == "number":
         check = 0 if len(digits) < 9 else 2
     shape = int("@" in span[1:-1]) if name == "email" else int(len(set(span if name == "secret" else digits)) > 2)
@@ -102,51 +125,52 @@ def judge(kind: int, span: str, before: str) -> tuple[list[int], list[bool]]:
     return votes, features
 
 
-def spans(text: str, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
-    """(kind, start, stop) of the candidates in ``text`` that touch lo:hi; none overlap."""
-    taken: list[tuple[int, int]] = []
+def spans(text: str) -> Iterator[tuple[int, int, int]]:
+    """(kind, start, stop) of the candidates in ``text``; none overlap. What is shaped like an account number but fails its checksum is left to the other kinds."""
+    taken = bytearray(len(text))
     for kind, form in enumerate(CANDIDATES):
         for m in form.finditer(text):
             a, b = m.span()
             while kind == 0 and text[b - 1] in ".-":
                 b -= 1
-            if b > lo and a < hi and all(b <= x or a >= y for x, y in taken):
-                taken.append((a, b))
+            if taken.find(1, a, b) < 0 and (KINDS[kind] != "iban" or mod97(text[a:b])):
+                taken[a:b] = bytes([1]) * (b - a)
                 yield kind, a, b
 
 
-def found(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int, int, str, list[int], list[bool]]]:
-    """(row, start, stop, kind, span, votes, features) of all candidates of a chunk."""
-    raw = buf.tobytes()
+def regions(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(row, start, stop) in bytes of the parts of a chunk that can hold candidates, with whole words and some more around them."""
     mask = X.DIGIT[buf] | (buf == 64)
-    mask[[m.start() for m in PREFIX.finditer(raw)]] = True
+    mask[[m.start() for m in PREFIX.finditer(buf.tobytes())]] = True
     hot = np.flatnonzero(mask)
     if len(hot) == 0:
         return
     row = np.searchsorted(offs, hot, "right") - 1
-    cut = np.flatnonzero((np.diff(hot) > 32) | (np.diff(row) > 0)) + 1
-    chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-    done: set[tuple[int, int]] = set()
-    for a, b in zip(np.concatenate([[0], cut]), np.append(cut, len(hot)), strict=True):
-        r, g0, g1 = int(row[a]), int(hot[a]), int(hot[b - 1]) + 1
-        r0, r1 = int(offs[r]), int(offs[r + 1])
-        word = max(r0, max(raw.rfind(s, r0, g0) for s in (b" ", b"\n", b"\t")))
-        w0 = max(r0, word - 72)
-        ends = [x for x in (raw.find(s, g1, r1) for s in (b" ", b"\n", b"\t")) if x >= 0]
-        w1 = min([r1, *ends])
-        w1 = min(r1, w1 + 48)
-        while w0 > r0 and raw[w0] & 0xC0 == 0x80:
+    blank = np.flatnonzero((buf == 32) | (buf == 10) | (buf == 9))
+    edge = np.concatenate([[-1], blank, [len(buf)]])
+    word = edge[np.searchsorted(blank, hot)]  # the white space before
+    after = edge[np.searchsorted(blank, hot) + 1]
+    start = np.maximum(offs[row], word - 4 * BEFORE)
+    stop = np.minimum(offs[row + 1], after + 48)
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] > np.maximum.accumulate(stop)[:-1])]))
+    last = np.append(new[1:], len(hot)) - 1
+    for r, w0, w1 in zip(row[new].tolist(), start[new].tolist(), np.maximum.accumulate(stop)[last].tolist(), strict=True):
+        while w0 > offs[r] and buf[w0] & 0xC0 == 0x80:
             w0 -= 1
-        while w1 < r1 and raw[w1] & 0xC0 == 0x80:
+        while w1 < offs[r + 1] and buf[w1] & 0xC0 == 0x80:
             w1 += 1
-        part = raw[w0:w1].decode("utf-8", "replace")
-        base, start = int(chars[w0]), int(chars[r0])
-        for kind, s, e in spans(part, int(chars[g0]) - base, int(chars[g1]) - base):
-            if (base + s, base + e) in done:
-                continue
-            done.add((base + s, base + e))
-            line = part[:s].rpartition("\n")[2]
-            yield r, base + s - start, base + e - start, kind, part[s:e], *judge(kind, part[s:e], line)
+        yield r, w0, w1
+
+
+def found(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int, int, str, list[int], list[bool]]]:
+    """(row, start, stop, kind, span, votes, features) of all candidates of a chunk, in time linear in its bytes."""
+    chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    for r, w0, w1 in regions(buf, offs):
+        part = buf[w0:w1].tobytes().decode("utf-8", "replace")
+        base = int(chars[w0] - chars[offs[r]])
+        for kind, s, e in spans(part):
+            line = part[max(0, s - BEFORE) : s].rpartition("\n")[2]
+            yield r, base + s, base + e, kind, part[s:e], *judge(kind, part[s:e], line)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
