@@ -1,25 +1,26 @@
 """Operator 10: SimHash near-duplicates found by pigeonring filtering.
 
-*Signature.* A document's features cover all of its text: stems (first 6 bytes) of tokens of Latin letters up to 24 bytes,
-other tokens up to 24 bytes whole, and of longer tokens and those in scripts of three bytes and more a character (Chinese,
+*Signature.* A document's features cover all of its text: whole tokens of up to 24 bytes, and of longer tokens and those in scripts of three bytes and more a character (Chinese,
 Japanese, Thai, ...), which may be whole sentences, all character n-grams (3 where there are ideographs or kana, else 6; 12
 in long tokens of other scripts). They are weighted 1 + ln(count); signed random projections give three independent rings
-of 240 bits. *Near-duplicates* are documents that differ in at most 35 bits of some ring (the README has the shares of
+of 242 bits. *Near-duplicates* are documents that differ in at most 32 bits of some ring (the README has the shares of
 copies found by the share of other words); groups are the connected components of that relation, and the smallest
 ``doc_id`` of a group is its representative.
 
-*Search, exact.* A ring has 12 segments of 20 bits. By the pigeonring principle any pair within 35 bits has
+*Search, exact.* A ring has 11 segments of 22 bits. By the pigeonring principle any pair within 32 bits has
 a segment from which every chain of 1, 2, ... following segments stays within its proportional budget (2, 5, 8, 11, ...
-bits). A first segment differing in at most two bits agrees on one of three parts of it (7, 7 and 6 bits), so each signature
-is sent to 108 buckets (ring, segment, part, its bits): a constant number of rows a document. Inside a bucket a table of
-the other bits gives the partners of each of the 211 patterns of up to two bits, each pattern in the first part that it
+bits). A first segment differing in at most two bits agrees on one of three parts of it (8, 7 and 7 bits), so each signature
+is sent to 99 buckets (ring, segment, part, its bits): a constant number of rows a document, spread over as many tasks as
+the rows need. A task reads its buckets in order and holds few of them at a time. Inside a bucket a table of
+the other bits gives the partners of each of the 254 patterns of up to two bits, each pattern in the first part that it
 leaves alone; they are pruned by the chain budgets and then checked on the full signature. Pairs already known to be
-connected are not checked again; nothing is capped. Equal signatures are merged beforehand.
+connected are not checked again; nothing is capped. Equal signatures are merged beforehand and never sent twice.
 
-Defined cases: null and empty texts belong to no group. A text without any token is one feature (the whole text). Rows
-without ``doc_id`` belong to no group. Rows repeated under one ``doc_id`` are one document. Other columns are ignored.
-Unrelated signatures meet with odds of 36 * 211 / 2 ** 20, so the work of pruning grows with the square of the documents:
-raise ``WIDTH`` (with ``PARTS``) where that outweighs the rest, from some 10 ** 7 documents on.
+Defined cases: null and empty texts belong to no group. A text without any token is one feature (the whole text). Texts of
+any length count whole. An empty table has no groups. Rows
+without ``doc_id`` belong to no group. Rows repeated under one ``doc_id`` are one document, also if their texts differ. Other columns are ignored.
+A pair of unrelated English documents meets in a bucket's table with odds of some 3 in 100, so that the pruning's work grows
+with the square of the documents beside the linear rest (the README has both in figures).
 """
 
 from __future__ import annotations
@@ -34,12 +35,13 @@ from pyspark.sql import functions as F
 
 from vecspark.llm import text as X
 
-RINGS, SEGMENTS, WIDTH, LIMIT, CHAIN, STEM = 3, 12, 20, 35, 4, 6
+RINGS, SEGMENTS, WIDTH, LIMIT, CHAIN = 3, 11, 22, 32, 4
 LONG, GRAM_IDEOGRAPHS, GRAM_OTHERS, GRAM_LONG = 24, 3, 6, 12
-SLICE = 1 << 18
-PARTS = ((13, 7), (6, 7), (0, 6))  # shift and width of the parts of a segment
+SLICE, TASK_ROWS = 1 << 18, 1 << 19
+PARTS = ((14, 8), (7, 7), (0, 7))  # shift and width of the parts of a segment
 PART_BITS, REST_BITS = max(w for _, w in PARTS), WIDTH - min(w for _, w in PARTS)
-RING_BYTES = SEGMENTS * WIDTH // 8
+RING_BITS = SEGMENTS * WIDTH
+RING_BYTES = -(-RING_BITS // 8)
 BYTES = RINGS * RING_BYTES
 BUDGET = [length * LIMIT // SEGMENTS for length in range(1, SEGMENTS + 1)]
 _SIGN = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2) - 1
@@ -53,25 +55,21 @@ def _inside(mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def features(t: X.Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of every feature: stems, whole tokens and character n-grams."""
+    """Row and hash of every feature: tokens, and character n-grams of long and unspaced ones."""
     size = t.end - t.start
     broad = _inside(t.low >= 0xE0, t.start, t.end) > 0
-    stemmed = _inside(X.DIGIT[t.low] | (t.low >= 0xCB), t.start, t.end) == 0
     split = broad | (size > LONG)
-    end = np.where(stemmed & ~split, np.minimum(t.end, t.start + STEM), t.end)
-    row, start, end = [t.row[~split]], [t.start[~split]], [end[~split]]
     some = np.flatnonzero(split)
-    if len(some):
-        ideographs = _inside((t.low >= 0xE3) & (t.low <= 0xE9) | (t.low >= 0xF0), t.start[some], t.end[some]) > 0
-        gram = np.where(ideographs, GRAM_IDEOGRAPHS, np.where(broad[some], GRAM_OTHERS, GRAM_LONG))
-        lead = np.append(np.flatnonzero((t.low & 0xC0) != 0x80), len(t.low))  # first bytes of the characters
-        a, b = np.searchsorted(lead, t.start[some]), np.searchsorted(lead, t.end[some])
-        n = np.maximum(1, b - a - gram + 1)
-        at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        row.append(np.repeat(t.row[some], n))
-        start.append(lead[at])
-        end.append(lead[np.minimum(at + np.repeat(gram, n), np.repeat(b, n))])
-    return np.concatenate(row), X.span_hash(t.low, np.concatenate(start), np.concatenate(end))
+    if len(some) == 0:
+        return t.row, t.hash
+    ideographs = _inside((t.low >= 0xE3) & (t.low <= 0xE9) | (t.low >= 0xF0), t.start[some], t.end[some]) > 0
+    gram = np.where(ideographs, GRAM_IDEOGRAPHS, np.where(broad[some], GRAM_OTHERS, GRAM_LONG))
+    lead = np.append(np.flatnonzero((t.low & 0xC0) != 0x80), len(t.low))  # first bytes of the characters
+    a, b = np.searchsorted(lead, t.start[some]), np.searchsorted(lead, t.end[some])
+    n = np.maximum(1, b - a - gram + 1)
+    at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start, end = lead[at], lead[np.minimum(at + np.repeat(gram, n), np.repeat(b, n))]
+    return np.concatenate([t.row[~split], np.repeat(t.row[some], n)]), np.concatenate([t.hash[~split], X.span_hash(t.low, start, end)])
 
 
 def signatures(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -97,7 +95,9 @@ def signatures(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         base = row[part] * 256
         for b in range(BYTES):
             total[b] += np.bincount(base + planes[:, b], weights=weight[part], minlength=rows * 256).reshape(rows, 256) @ _SIGN
-    return np.packbits(total > 0, axis=2)[:, :, 0].T.copy()
+    sig = np.packbits(total > 0, axis=2)[:, :, 0].T.copy()
+    sig[:, RING_BYTES - 1 :: RING_BYTES] &= 256 - (1 << (8 * RING_BYTES - RING_BITS))  # bits beyond a ring's last segment
+    return sig
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
 def segments(sig: np.ndarray) -> np.ndarray:
     """RING_BYTES bytes to SEGMENTS numbers of WIDTH bits."""
-    bits = np.unpackbits(sig, axis=1).reshape(len(sig), SEGMENTS, WIDTH)
+    bits = np.unpackbits(sig, axis=1)[:, :RING_BITS].reshape(len(sig), SEGMENTS, WIDTH)
     return bits @ (1 << np.arange(WIDTH - 1, -1, -1, dtype=np.int64))
 
 
@@ -263,16 +263,32 @@ def _join(key: np.ndarray, keys: int, part: int, node: np.ndarray, s: np.ndarray
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bucket, ids, sig = [], [], []
+    """Links of some whole buckets at a time, from rows sorted by bucket."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    rows = 0
     for b in batches:
-        bucket.append(np.asarray(b.column(0)))
-        ids.append(np.asarray(b.column(1)))
-        sig.append(segments(_raw(b.column(2), RING_BYTES)).astype(np.uint32))
-    if not bucket:
+        bucket, ids, sig = np.asarray(b.column(0)), np.asarray(b.column(1)), _raw(b.column(2), RING_BYTES)
+        if rows >= TASK_ROWS and len(bucket):
+            ends = int(np.searchsorted(bucket, held[-1][0][-1], "right"))
+            held.append((bucket[:ends], ids[:ends], sig[:ends]))
+            if ends == len(bucket):
+                rows += ends
+                continue
+            yield from _flush(held)
+            held, rows = [], 0
+            bucket, ids, sig = bucket[ends:], ids[ends:], sig[ends:]
+        held.append((bucket, ids, sig))
+        rows += len(bucket)
+    yield from _flush(held)
+
+
+def _flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    if not held:
         return
-    every, node = np.unique(np.concatenate(ids), return_inverse=True)
+    bucket, ids, sig = (np.concatenate(x) for x in zip(*held, strict=True))
+    every, node = np.unique(ids, return_inverse=True)
     known = Components(len(every))
-    link(np.concatenate(bucket).astype(np.int64), node, np.concatenate(sig), known)
+    link(bucket.astype(np.int64), node, segments(sig).astype(np.uint32), known)
     root = known.find(np.arange(len(every)))
     other = np.flatnonzero(root != np.arange(len(every)))
     yield pa.RecordBatch.from_arrays([pa.array(every[other]), pa.array(every[root[other]])], names=["a", "b"])
@@ -281,7 +297,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(a, b) links to (id, root) for each id but the roots: alternating large and small stars until nothing changes.
 
-    Every round is written to the shared folder, so no round is ever computed twice and executors may be lost."""
+    Every round is written to the shared folder, so no round is ever computed twice and executors may be lost; the round before it is deleted."""
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = X.stored(edges, name)
     state = None
@@ -292,7 +308,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("u"), F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = X.stored(small.where("u <> v").distinct(), name)
+        before, edges = edges, X.stored(small.where("u <> v").distinct(), name)
+        X.discard(before)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
@@ -301,13 +318,19 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, group_id) of every document that belongs to a group of two or more."""
+    spark = docs.sparkSession
     sigs = X.stored(signed(docs), "simhash")
-    merged = sigs.groupBy("sig").agg(F.min("doc_id").alias("id"))
-    first = X.stored(merged, "simhash-first")
-    edges = first.select("id", "sig").mapInArrow(_buckets, "bucket int, id long, sig binary").repartition("bucket").mapInArrow(_linked, "a long, b long")
-    same = sigs.join(first, "sig").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    roots = components(edges.union(same), "simhash-links")
-    return roots.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id")).union(roots.select(F.col("root"), F.col("root")).distinct())
+    first = X.stored(sigs.groupBy("sig").agg(F.min("doc_id").alias("id"), (F.min("doc_id") != F.max("doc_id")).alias("shared")), "simhash-first")
+    rows = first.count() * RINGS * SEGMENTS * len(PARTS)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    sent = first.select("id", "sig").mapInArrow(_buckets, "bucket int, id long, sig binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    edges = sent.mapInArrow(_linked, "a long, b long")
+    several = sigs.groupBy("doc_id").agg(F.min("sig").alias("p"), F.max("sig").alias("q")).where("p <> q").select("doc_id")  # one id, different texts
+    edges = edges.union(sigs.join(several, "doc_id", "left_semi").join(first, "sig").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+    roots = components(edges, "simhash-links")
+    member = roots.union(roots.select("root", "root").distinct())
+    named = first.join(member, "id", "left").where("shared OR root IS NOT NULL").select("sig", F.coalesce("root", "id").alias("group_id"))
+    return sigs.join(named, "sig").select("doc_id", "group_id").distinct()
 
 
 def removed(docs: DataFrame) -> DataFrame:
