@@ -10,8 +10,9 @@ document position, and every hit is verified on the whole diagonal. The benchmar
 of at most ``SLICE`` postings; a benchmark of any size takes more slices, each one scan, never a larger broadcast. The
 documents are read as they lie: no shuffle.
 
-Defined cases: rows without ``doc_id`` or ``item_id`` are left out; null and empty texts match nothing; repeated rows
-give their result once; other columns are ignored; matches never cross documents.
+Defined cases: rows without ``doc_id`` or ``item_id`` are left out; null and empty texts and empty tables match nothing; texts
+of any length are read whole, hits of repetitive ones in blocks of bounded size, with one row for each diagonal that has a
+region; several items or places that match alike each give their rows, so there are no ties to break; repeated rows give their result once; other columns are ignored; matches never cross documents.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from vecspark.llm import text as X
 WINDOW, MISMATCHES, LEAST = 13, 2, 5
 MASKS = ((0, 1, 2, 5, 7, 8), (0, 2, 3, 6, 7, 8))
 SHORT = (0, 1, 2, 3, 4)
-SLICE = 2_000_000
+SLICE, HITS = 2_000_000, 1 << 20
 SCHEMA = "doc_id long, item_id long, doc_token long, item_token long, n_tokens long, n_mismatches long"
 _FACTOR = [X.U(0xD6E8FEB86659FD93 * (2 * k + 3) & (2**64 - 1) | 1) for k in range(16)]
 
@@ -78,7 +79,8 @@ class Slice:
 
     def search(self, first: np.ndarray, tokens: np.ndarray) -> Iterator[tuple]:
         """(row, item id, ...) of all regions in the rows whose tokens are tokens[first[r]:first[r + 1]]."""
-        keys = []
+        span = int(len(tokens) + max((len(t) for t in self.tokens), default=0) + 1)  # of diagonals
+        keys = np.zeros(0, np.int64)
         for salt, mask in self.masks:
             h = seeds(tokens, mask, salt)
             at = np.flatnonzero(self.seen[X.mix(h) >> X.U(64 - self.bits)])
@@ -87,10 +89,17 @@ class Slice:
             row = np.searchsorted(first, at, "right") - 1
             inside = at + mask[-1] < first[row + 1]
             at, lo, n, row = at[inside], lo[inside], n[inside], row[inside]
-            k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            row = np.repeat(row, n)
-            keys.append(np.stack([row, self.item[k], np.repeat(at, n) - first[row] - self.pos[k]], axis=1))
-        for row, item, diagonal in np.unique(np.concatenate(keys), axis=0) if keys else ():
+            ends = np.cumsum(n)
+            i = 0
+            while i < len(at):  # blocks of bounded size, each reduced to its diagonals: repetitive texts hit over and over
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + HITS, "right")))
+                size = n[i:j]
+                k = np.repeat(lo[i:j] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                diagonal = np.repeat(at[i:j] - first[row[i:j]], size) - self.pos[k] + span
+                keys = np.union1d(keys, (np.repeat(row[i:j], size) * len(self.ids) + self.item[k]) * (2 * span) + diagonal)
+                i = j
+        for key in keys.tolist():
+            row, item, diagonal = key // (2 * span) // len(self.ids), key // (2 * span) % len(self.ids), key % (2 * span) - span
             for r in self.regions(tokens[first[row] : first[row + 1]], item, diagonal):
                 yield (row, self.ids[item], *r)
 

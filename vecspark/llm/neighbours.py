@@ -12,7 +12,7 @@ id. The product of the codes runs in single precision BLAS, which is exact up to
 those beyond. All pairs are compared, as the method has it: work grows with the square of the rows, spread evenly over
 tiles; each vector is sent to one tile per block (``BLOCK`` rows), so that the shuffle is rows * blocks.
 
-Defined cases: rows with a null id or vector, an empty vector, or a null, infinite or NaN element are left out; vectors
+Defined cases: rows with a null id or vector, an empty vector, or a null, infinite or NaN element are left out; finite elements of any size are compared right; vectors
 are only compared within their dimension; of rows repeated under one id the smallest vector counts; fewer than k others
 give fewer rows; other columns are ignored.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from vecspark.llm import text as X
 
-K, BLOCK, STRIP, EXACT = 10, 8192, 256, 1040
+K, BLOCK, STRIP, EXACT, LARGE = 10, 8192, 256, 1040, 1e15
 
 
 class Codes:
@@ -66,19 +66,21 @@ def tile(a: Codes, b: Codes, ida: np.ndarray, idb: np.ndarray, k: int) -> Iterat
     """(ids of queries, ids of neighbours, distances), the k nearest in ``b`` of each row of ``a``, strip by strip."""
     if len(ida) == 0 or len(idb) == 0:
         return
-    worst_error, worst_norm = b.error.max(), b.norm.max()
-    grain = 1e-6 + 1e-6 * float(worst_norm) ** 2  # rounding of results, and of the single precision sums below
-    bscale, bsquare = b.scale.astype(np.float32), b.square.astype(np.float32)
+    most = max(a.norm.max(), b.norm.max())
+    unit = 2.0 ** -np.ceil(np.log2(most)) if most > LARGE else 1.0  # keeps single precision from overflowing
+    worst_error, worst_norm = b.error.max() * unit, b.norm.max() * unit
+    grain = 1e-6 * unit**2 + 1e-6 * float(worst_norm) ** 2  # rounding of results, and of the single precision sums below
+    bscale, bsquare = (b.scale * unit).astype(np.float32), (b.square * unit**2).astype(np.float32)
     for lo in range(0, len(ida), STRIP):
         hi = min(lo + STRIP, len(ida))
         dots = a.products(lo, hi, b)
         dots *= bscale
-        dots *= (-2 * a.scale[lo:hi, None]).astype(np.float32)
+        dots *= (-2 * unit * a.scale[lo:hi, None]).astype(np.float32)
         dots += bsquare  # squared distance without the query's own square
         own = ida[lo:hi, None] == idb[None, :] if ida is idb else None
         if own is not None:
             dots[own] = np.inf
-        bound = 2 * (a.near[lo:hi] * worst_error + a.error[lo:hi] * worst_norm) + grain + 1e-6 * a.square[lo:hi]
+        bound = 2 * (a.near[lo:hi] * unit * worst_error + a.error[lo:hi] * unit * worst_norm) + grain + 1e-6 * unit**2 * a.square[lo:hi]
         if len(idb) > k:
             cut = np.partition(dots, k - 1, axis=1)[:, k - 1] + 2 * bound
         else:

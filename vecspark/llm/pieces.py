@@ -12,7 +12,7 @@ Decoding is lossless for every string, white space and U+2581 included: a space
 dummy prefix) and taken off again; nothing is normalised; a character without a piece of its own becomes byte pieces.
 Each batch is decoded again and compared with its texts; a difference raises an error.
 
-Defined cases: a null text gives null ids and 0 pieces; the empty text has the one piece of the dummy prefix; texts of any
+Units count as equal only byte for byte. Defined cases: an empty table gives an empty one; a null text gives null ids and 0 pieces; the empty text has the one piece of the dummy prefix; texts of any
 length are encoded whole; a null ``doc_id`` is a key of its own; repeated rows get equal ids; other columns are ignored.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vecspark.llm import text as X
 
 MODEL, ALPHA, SEED = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 1
-CHUNK = 3 << 20
+MODEL_SETTING, CHUNK = "spark.vecspark.pieces.model", 3 << 20
 SCHEMA = "doc_id long, ids array<int>, n_pieces int, lossless boolean"
 WIDTHS = np.zeros(256, dtype=np.int64)  # bytes of a character by its first
 WIDTHS[:128], WIDTHS[192:224], WIDTHS[224:240], WIDTHS[240:] = 1, 2, 3, 4
@@ -80,13 +80,29 @@ class Pieces:
         return self.bytes[np.repeat(self.start[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
+_BASE = 0x9E3779B97F4A7C15 | 1
+_BASE_INV = pow(_BASE, -1, 1 << 64)
+_tables: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    have = _tables.get("pow")
+    if have is None or len(have) < n:
+        for name, base in (("pow", _BASE), ("inv", _BASE_INV)):
+            t = np.full(max(CHUNK + 1, n), base, dtype=X.U)
+            t[0] = 1
+            _tables[name] = np.cumprod(t, dtype=X.U)
+    return _tables["pow"], _tables["inv"]
+
+
 def _span(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of spans of a few bytes (pieces have at most some dozens) from prefix sums of a polynomial."""
     cs, inv = _sums(buf)
     return (cs[b] - cs[a]) * inv[a]
 
 
 def _sums(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    pw, inv = X._powers(len(buf) + 1)
+    pw, inv = _powers(len(buf) + 1)
     cs = np.zeros(len(buf) + 1, dtype=X.U)
     np.cumsum((buf.astype(X.U) + X.U(1)) * pw[: len(buf)], out=cs[1:])
     return cs, inv
@@ -215,9 +231,11 @@ def encode(pieces: Pieces, buf: np.ndarray, offs: np.ndarray, keys: np.ndarray,
     end = np.append(start[1:], len(text))
     row = np.searchsorted(at, start, "right") - 1
     number = np.arange(len(start)) - np.searchsorted(start, at[:-1])[row]
-    h = _span(text, start, end)
+    h = X.span_hash(text, start, end)
     order = np.argsort(h)
     new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    if not _same(text, start[order], end[order], new):  # units of one hash that differ share nothing
+        new[:] = True
     unit = np.cumsum(new) - 1
     u0, u1 = start[order[new]], end[order[new]]
     size = u1 - u0
@@ -236,13 +254,24 @@ def encode(pieces: Pieces, buf: np.ndarray, offs: np.ndarray, keys: np.ndarray,
     return ids, np.bincount(row, weights=count, minlength=rows).astype(np.int64)
 
 
+def _same(text: np.ndarray, start: np.ndarray, end: np.ndarray, new: np.ndarray) -> bool:
+    """Whether each span equals, byte for byte, the last one before it that is marked as new."""
+    size = end - start
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    if (size != size[first]).any():
+        return False
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return bool(np.array_equal(text[np.repeat(start, size) + within], text[np.repeat(start[first], size) + within]))
+
+
 def decode(pieces: Pieces, ids: list[int]) -> str:
     """The text of one row's pieces."""
     return pieces.decode(np.array(ids, dtype=np.int64)).tobytes()[1:].decode("utf-8")
 
 
-def encoded(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """(doc_id, ids, n_pieces, lossless) of every row."""
+def encoded(docs: DataFrame, path: str | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """(doc_id, ids, n_pieces, lossless) of every row; ``path`` of the model, else that of the setting ``MODEL_SETTING``, else ``MODEL``."""
+    path = path or docs.sparkSession.conf.get(MODEL_SETTING, MODEL)
     shipped = docs.sparkSession.sparkContext.broadcast(Pieces(path, alpha))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

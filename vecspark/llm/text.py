@@ -21,8 +21,6 @@ CHUNK_BYTES = 2 << 20
 LONG_SPAN = 64
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_tables: dict[str, np.ndarray] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -34,17 +32,6 @@ DIGIT[48:58] = True
 _HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)  # the first k of eight bytes
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _tables.get("pow")
-    if have is None or len(have) < n:
-        size = max(CHUNK_BYTES + 1, n)
-        for name, base in (("pow", _BASE), ("inv", _BASE_INV)):
-            t = np.full(size, base, dtype=U)
-            t[0] = 1
-            _tables[name] = np.cumprod(t, dtype=U)
-    return _tables["pow"], _tables["inv"]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser, in place where possible."""
     h = h ^ (h >> U(30))
@@ -185,6 +172,11 @@ def _filesystem(spark: SparkSession, path: str) -> tuple:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    system, at = _filesystem(spark, path)
+    system.deleteOnExit(at)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, survives the loss of any executor.
 
@@ -192,8 +184,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    system, at = _filesystem(spark, path)
-    system.deleteOnExit(at)
+    remove_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

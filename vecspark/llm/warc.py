@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from vecspark.llm import text as X
 
-LINES, PART_LINES, LEVEL = 512, 200_000, 1
+LINES, PART_LINES, LEVEL, TASK_READS = 512, 200_000, 1, 4000
 _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)"
 _PORT = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?[^/:?#]*:([0-9]+)"
 _PATH = r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)"
@@ -149,8 +149,8 @@ def _blocks(root: str):
 class Index:
     """The upper level: index files by the range of their keys."""
 
-    def __init__(self, root: str, files: list[tuple[str, str, str, int, int]]):
-        self.root = root
+    def __init__(self, root: str, files: list[tuple[str, str, str, int, int]], captures: int = 0):
+        self.root, self.captures = root, captures
         self.files = sorted(files, key=lambda r: (r[1].encode(), r[2].encode(), r[0]))
         self.first = [r[1].encode() for r in self.files]
         self.last = [r[2].encode() for r in self.files]
@@ -165,13 +165,16 @@ def build(pages: DataFrame) -> Index:
     root = f"{X.shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     system, base = _open(root)
     system.create_dir(base, recursive=True)
+    X.remove_at_exit(pages.sparkSession, root)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     own = own.where("url IS NOT NULL").select(url_key(F.col("url")).alias("key"), "page_id", "url", "html")
     captures = X.stored(own.mapInArrow(_archive(root), "key string, page_id long, url string, file string, offset long, length long"), "captures")
-    parts = max(1, -(-captures.count() // PART_LINES))
+    n = captures.count()
+    parts = max(1, -(-n // PART_LINES))
     ordered = captures.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
     files = ordered.mapInArrow(_blocks(root), "file string, first string, last string, offset long, length long").collect()
-    return Index(root, [tuple(r) for r in files])
+    X.discard(captures)
+    return Index(root, [tuple(r) for r in files], n)
 
 
 class Reader:
@@ -231,7 +234,8 @@ def looked_up(keys: DataFrame, index: Index) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "page_id", "url", "digest", "n_bytes"])
 
     sent = keys.select("key").where("key IS NOT NULL").distinct().select(F.explode(files("key")).alias("number"), "key")
-    sent = sent.repartitionByRange("number", "key").sortWithinPartitions("number", "key")
+    # the work is the reads, not the keys' bytes: so many tasks as the captures need
+    sent = sent.repartitionByRange(max(1, -(-index.captures // TASK_READS)), "number", "key").sortWithinPartitions("number", "key")
     return sent.mapInArrow(search, "key string, page_id long, url string, digest string, n_bytes long")
 
 
