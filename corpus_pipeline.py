@@ -14,10 +14,15 @@ from vecspark.llm import decontaminate, langid, linededup, pieces, simhash
 from vecspark.llm import text as X
 
 
+#: ids that are shipped to the executors (8 bytes each); more are joined
+SHIPPED_IDS = 1_000_000
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but those whose doc_id is in ``ids.doc_id``."""
-    gone = ids.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """``docs`` but those whose doc_id is in ``ids.doc_id``. Texts are moved only where the ids, which are counted, are too many to ship."""
+    gone = X.stored(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    few = gone.count() <= SHIPPED_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +61,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = X.stored(docs, f"pipeline-{name}")
+            X.discard(before)
     return docs

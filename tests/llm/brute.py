@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from vecspark.llm import simhash
+from vecspark.llm import text as X
+
 TOKEN = re.compile(r"[0-9A-Za-zÀ-῿⁰-\U0010ffff]+")
 CLASHING = "id sig key first last a b bucket origin h d n m u v rank row count file other dim kind label reach lo hi at x k span start stop place".split()
 
@@ -103,3 +107,31 @@ def one_edit(a: str, b: str) -> bool:
         return False
     n = next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
     return x[n:] == y[n:] or x[n + 1 :] == y[n + 1 :] or x[n + 1 :] == y[n:] or x[n:] == y[n + 1 :]
+
+
+def signature(text: str) -> bytes:
+    """Operator 10's signature by its definition, one feature at a time, for texts of Latin letters."""
+    own = tokens(text)
+    count: dict[int, int] = {}
+    for w in own or [text]:
+        parts = [w] if len(w.encode()) <= simhash.LONG or not own else [w[k : k + simhash.GRAM_LONG] for k in range(max(1, len(w) - simhash.GRAM_LONG + 1))]
+        for p in parts:
+            raw = np.frombuffer(p.encode(), np.uint8)
+            h = int(X.span_hash(raw, np.array([0]), np.array([len(raw)]))[0]) >> 16
+            count[h] = count.get(h, 0) + 1
+    total = np.zeros(simhash.BYTES * 8)
+    for h, n in count.items():
+        planes = b"".join(_mixed(h + 0x9E3779B97F4A7C15 * (k + 1)).to_bytes(8, "little") for k in range(-(-simhash.BYTES // 8)))[: simhash.BYTES]
+        total += round(16 * (1 + math.log(n))) * (np.unpackbits(np.frombuffer(planes, np.uint8)).astype(float) * 2 - 1)
+    out = bytearray(np.packbits(total > 0).tobytes())
+    spare = 8 * simhash.RING_BYTES - simhash.RING_BITS
+    for k in range(simhash.RING_BYTES - 1, len(out), simhash.RING_BYTES):
+        out[k] = out[k] >> spare << spare
+    return bytes(out)
+
+
+def _mixed(x: int) -> int:
+    x &= 2**64 - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & 2**64 - 1
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & 2**64 - 1
+    return x ^ x >> 31

@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 import corpus_pipeline as P
-from brute import awkward, components, deduplicated, near, passages, tokens
+from brute import awkward, components, deduplicated, near, passages, signature, tokens
 from vecspark.llm import decontaminate, langid, pieces, simhash
 
 
@@ -168,3 +168,25 @@ def test_every_pair_within_the_limit_is_linked():
         simhash.link(np.concatenate(cols).astype(np.int64), np.tile(np.arange(len(seg)), len(cols)), np.tile(seg, (len(cols), 1)), known)
         root = known.find(np.arange(len(seg)))
         assert ((root[:400] == root[400:]) == (far == simhash.LIMIT)).all()
+
+
+def test_whole_query_equals_brute_force(spark, sf_dir):
+    """Signatures, pairs and groups of a whole table, each by its definition."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    want = components(near({d: signature(t) for d, t in docs.items() if t}, simhash.RINGS, simhash.LIMIT))
+    assert {r["doc_id"]: r["group_id"] for r in simhash.op10_simhash(spark, sf_dir).collect()} == want and want
+
+
+def test_one_id_of_several_texts_joins_their_groups(spark):
+    rows = [(1, "the first text that is here twice"), (5, "the first text that is here twice"), (5, "quite another matter altogether, as one may see"), (7, "quite another matter altogether, as one may see"), (9, "alone")]
+    assert _groups(spark.createDataFrame(rows, "doc_id long, text string")) == {1: 1, 5: 1, 7: 1}
+
+
+def test_different_texts_of_other_scripts_stay(spark):
+    """Texts that only begin alike, word by word or phrase by phrase, are no copies."""
+    rng = random.Random(4)
+    letters = "абвгдежзиклмнопрст"
+    heads = ["".join(rng.choices(letters, k=3)) for _ in range(60)]
+    rows = [(n, " ".join(h + "".join(rng.choices(letters, k=5)) for h in heads)) for n in range(3)]
+    rows += [(10 + n, " ".join(h[:3] + "".join(rng.choices("abcdefghij", k=6)) for h in ["str", "con", "pre", "inter"] * 15)) for n in range(3)]
+    assert _groups(spark.createDataFrame(rows, "doc_id long, text string")) == {}

@@ -226,3 +226,144 @@ def test_misspelled_learned_words_and_stems():
     lexicon = toxicity.Lexicon(["blimtag"], ["quorvex"])
     text = b"quorvx quorvvex qorvex blmtagende blimtqger"
     assert [h[2] for h in lexicon.hits(np.frombuffer(text, np.uint8), np.array([0, len(text)]))] == [True] * 5
+
+
+# whole queries and hard texts, against plain versions
+
+
+def _personal(rows: list[tuple[int, str]]) -> set[tuple]:
+    """Operator 7 by its definition: all patterns over whole texts, then the two models over all candidates."""
+    found = []
+    for d, text in rows:
+        for kind, s, e in pii.spans(text):
+            votes, features = pii.judge(kind, text[s:e], text[max(0, s - pii.BEFORE) : s].rpartition("\n")[2])
+            found.append((d, s, e, pii.KINDS[kind], text[s:e], sum(v * 3**k for k, v in enumerate(votes)), sum(bool(f) << k for k, f in enumerate(features))))
+    count: dict[tuple, int] = {}
+    for r in set(found):
+        count[r[3], r[5], r[6]] = count.get((r[3], r[5], r[6]), 0) + 1
+    final = pii.classify(sorted((*k, n) for k, n in count.items()))
+    return {(*r[:5], final[r[6]]) for r in found if final[r[6]] >= 0.5}
+
+
+def test_personal_data_of_the_documents_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {tuple(r) for r in pii.op7_pii(spark, "/root/testdata/sf0.01").collect()}
+    assert got == _personal([(r["doc_id"], r["text"]) for r in docs.collect()]) and len(got) > 50
+
+
+def test_secrets_of_any_length(spark):
+    keys = ["sk-proj-" + "aB3x9Q" * 20, "sk-" + "Zz9k" * 125, "ghp_" + "a1B2c3" * 30, "AKIA" + "Q7W2" * 10, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3jVmNHl0w5N_X-gL0", "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00"]
+    mail = "x" * 70 + "@example.com"
+    docs = spark.createDataFrame([(n, f"my token or iban {k} is here") for n, k in enumerate(keys)] + [(100, f"mail {mail} now"), (101, "phone 555 123 4567 please"), (102, "scores 100 200 3000 and 555 123 4567")], "doc_id long, text string")
+    got = {(r["doc_id"], r["span"]) for r in pii.personal(docs).collect()}
+    assert got >= set(enumerate(keys)) | {(100, mail), (101, "555 123 4567")}
+
+
+@pytest.mark.parametrize("unit", ["1234 a@b.c ", "x1", "idiot ", "x" * 40 + "1", "“idiot” "])
+def test_long_lines_take_linear_time(unit):
+    import time
+
+    lexicon = toxicity.Lexicon()
+    took = []
+    for size in (250_000, 1_000_000):
+        buf = np.frombuffer((unit * (size // len(unit.encode()))).encode(), np.uint8)
+        began = time.process_time()
+        assert sum(1 for _ in pii.found(buf, np.array([0, len(buf)]))) + sum(1 for _ in lexicon.hits(buf, np.array([0, len(buf)]))) >= 0
+        took.append(time.process_time() - began)
+    assert took[1] < 15 and took[1] < 10 * took[0] + 0.5
+
+
+def _toxic(rows: list[tuple[int, str]], lexicon: toxicity.Lexicon) -> dict[int, tuple]:
+    """Operator 9 by its definition, word by word and without an automaton."""
+    stems, weak, words = set(lexicon.stems), set(lexicon.weak), set(toxicity.TERMS) | set(lexicon.words)
+    firm = lexicon.firm
+    out = {}
+    for d, text in rows:
+        score = hits = wrongs = quotes = 0
+        own = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[0-9A-Za-zÀ-῿⁰-\U0010ffff]+", text)]
+        for k, (w, a, b) in enumerate(own):
+            exact = w in words or any(w.startswith(s) for s in stems)
+            half = not exact and any(w.startswith(s) for s in weak)
+            raw = w.encode()
+            long = lambda x: len(x.encode()) >= toxicity.FUZZY_FROM
+            fuzzy = any(one_edit(w, t) for t in words if long(t)) or any(one_edit(raw[:n].decode("latin-1"), s.encode().decode("latin-1")) for s in stems - firm if long(s) for n in range(len(s.encode()) - 1, len(s.encode()) + 2) if n <= len(raw))
+            if not (exact or half or fuzzy):
+                continue
+            wrong = not exact and not half
+            if wrong and w in lexicon.benign:
+                continue
+            before = {x[0] for x in own[max(0, k - 4) : k]}
+            line, rest = text[:a].rpartition("\n")[2], text[b:].partition("\n")[0]
+            quoted = (sum(c in toxicity.QUOTES for c in line) % 2 == 1 and any(c in toxicity.QUOTES for c in rest)) or bool(before & toxicity.CUES)
+            score += (0.75 if wrong else toxicity.WEAK if half else 1.0) * (0.25 if quoted else 1.25 if before & toxicity.ADDRESS else 1.0)
+            hits, wrongs, quotes = hits + 1, wrongs + wrong, quotes + quoted
+        if score >= toxicity.THRESHOLD:
+            out[d] = (round(score, 6), hits, wrongs, quotes)
+    return out
+
+
+def test_toxic_documents_equal_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    lexicon = toxicity.fit(docs, labels)
+    short = docs.where("length(text) < 1500")
+    got = {r["doc_id"]: (r["score"], r["hits"], r["misspelled"], r["quoted"]) for r in toxicity.toxic(short, lexicon).collect()}
+    assert got == _toxic([(r["doc_id"], r["text"]) for r in short.collect()], lexicon) and len(got) > 10
+
+
+def test_structured_strings_do_not_collide():
+    """Thue-Morse strings, which any polynomial modulo a power of two confuses."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    buf = np.frombuffer((a + b).encode(), np.uint8)
+    one, two = X.span_hash(buf, np.array([0, len(a)]), np.array([len(a), 2 * len(a)]))
+    assert one != two
+    own = pieces.Pieces()
+    raw = np.frombuffer(f"{a} {b}".encode(), np.uint8)
+    ids, _ = pieces.encode(own, raw, np.array([0, len(raw)]), np.zeros(1, np.uint64))
+    assert pieces.decode(own, ids) == f"{a} {b}"
+
+
+def test_rare_languages_are_in_the_sample(spark):
+    rows = [(n, f"the house and the garden of the man with the dog number {n}", "en") for n in range(3000)] + [(9000 + n, f"das Haus und der Garten des Mannes mit dem Hund nummer {n}", "de") for n in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = docs.where("lang = 'de'").select(langid.identified(docs, langid.fit(docs, 400)).alias("r")).collect()
+    assert {r["r"]["lang"] for r in got} == {"de"} and all(r["r"]["accepted"] for r in got)
+
+
+def _language(model: langid.Model, text: str) -> tuple[str, str, bool]:
+    """Operator 5 by its definition, one text at a time and in double precision."""
+    low = re.sub(r"[\u0080-¿ -⁯]", " ", text)
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" else c if c.isascii() and c.isalpha() or not c.isascii() else " " for c in low)
+    raw = b" " + low.encode() + b" "
+    letters = sum(c != 32 for c in raw)
+    if not letters:
+        return "und", "und", False
+    count: dict[int, int] = {}
+    for k in range(1, len(raw) - 1):
+        if raw[k] != 32:
+            f = ((raw[k - 1] << 16 | raw[k] << 8 | raw[k + 1]) * 2654435761 & 0xFFFFFFFF) >> 20
+            count[f] = count.get(f, 0) + 1
+    x = np.zeros(langid.DIMS + 1)
+    for f, n in count.items():
+        x[f] = math.sqrt(n)
+    x /= np.linalg.norm(x)
+    x[-1] = 1
+    family = model.families[int(np.argmax([x @ w for w in model.first]))] if model.first else model.families[0]
+    langs = [k for k in model.langs if model.family[k] == family]
+    votes, sums = dict.fromkeys(langs, 0), dict.fromkeys(langs, 0.0)
+    for a, b in itertools.combinations(langs, 2):
+        d = float(x @ model.pairs[a, b])
+        votes[a if d >= 0 else b] += 1
+        sums[a] += d
+        sums[b] -= d
+    best = max(langs, key=lambda k: (votes[k] + 0.5 * math.tanh(sums[k] / 10), -langs.index(k)))
+    return best, family, letters < langid.LEAST_LETTERS or float(x[:-1] @ model.means[best]) >= model.least
+
+
+def test_languages_of_the_documents_equal_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs)
+    got = docs.select("text", langid.identified(docs, model).alias("r")).collect()
+    assert [(r["r"]["lang"], r["r"]["family"], r["r"]["accepted"]) for r in got] == [_language(model, r["text"]) for r in got]

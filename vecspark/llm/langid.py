@@ -2,13 +2,13 @@
 
 The family (Germanic, Romance, ...) is predicted first, by one-versus-rest linear support vector machines over hashed
 character trigrams; then one-versus-one machines separate the languages of that family, by votes and, among equals, by
-summed margins. The machines are fitted on ``TRAIN_ROWS`` rows of known ``lang`` (those of the smallest hash of
-``doc_id``); every document is then scored over its whole text, in one pass without a shuffle.
+summed margins. The machines are fitted on ``TRAIN_ROWS`` rows of known ``lang``, as many of each language (those of the
+smallest hash of ``doc_id``); every document is then scored over its whole text, in one pass without a shuffle.
 
 A document is rejected if it has no letters, or if it has 30 letters and more and is less than half as close to the mean of
 its language as all but one in a thousand of the fitted rows are: text of a language that the model doesn't know.
 
-Defined cases: null, empty and letterless texts get language and family ``und``, margin 0, and are rejected. Rows
+Defined cases: an empty table gives an empty one; texts of any length are scored whole; null, empty and letterless texts get language and family ``und``, margin 0, and are rejected. Rows
 repeated are scored alike. With no labelled row at all, every text is ``und`` but accepted if it has letters. Ties go to
 the first language by name. A null ``doc_id`` is kept as null. Other columns are ignored.
 """
@@ -20,13 +20,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecspark.llm import text as X
-from vecspark.operators.sampling import smallest_hashes
 
-TRAIN_ROWS, DIMS, LEAST_LETTERS = 2000, 4096, 30
+TRAIN_ROWS, LANGUAGES, DIMS, LEAST_LETTERS = 2000, 100, 4096, 30
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af"),
     "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl", "la"),
@@ -132,9 +131,20 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """The model of a bounded sample: the ``rows`` labelled rows of the smallest hash of doc_id and text."""
-    known = docs.where("lang IS NOT NULL AND lang <> '' AND lang <> 'und' AND text IS NOT NULL AND text <> ''").select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"), F.col("lang").alias("lang"), F.col("text").alias("text"))
-    chosen = smallest_hashes(known, F.col("h"), rows, docs.count()).orderBy("h", "d", "text").limit(rows).select("lang", "text").mapInArrow(_sampled, "lang string, x binary, letters long").collect()
+    """The model of a bounded sample: ``rows`` labelled rows in all, of each of the ``LANGUAGES`` most frequent languages an equal number,
+    those of the smallest hash of doc_id (all of a language that has fewer); so a rare language is known however large the others are."""
+    known = docs.where("lang IS NOT NULL AND lang <> '' AND lang <> 'und' AND text IS NOT NULL AND text <> ''").select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    each = max(1, rows // max(1, len(counts)))
+    parts = None
+    for r in counts:  # one condition a language, in one pass: bounds on the hash leave some more than ``each`` rows
+        share = min(1.0, (2 * each + 40) / r["count"])
+        own = (F.col("lang") == r["lang"]) & (F.col("h") <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64))))
+        parts = own if parts is None else parts | own
+    if parts is None:
+        return Model(np.zeros((0, DIMS), np.float32), [], np.zeros(0, np.int64))
+    ranked = Window.partitionBy("lang").orderBy("h", "d", "text")
+    chosen = known.where(parts).withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= each).select("lang", "text").mapInArrow(_sampled, "lang string, x binary, letters long").collect()
     chosen = sorted((r for r in chosen if r.letters > 0), key=lambda r: (r.lang, bytes(r.x)))
     x = np.array([np.frombuffer(r.x, np.float16) for r in chosen], dtype=np.float32).reshape(-1, DIMS)
     return Model(x, [r.lang for r in chosen], np.array([r.letters for r in chosen]))

@@ -119,7 +119,7 @@ class Automaton:
 
 class Lexicon:
     def __init__(self, stems: Iterable[str] = (), words: Iterable[str] = (), benign: Iterable[str] = (), weak: Iterable[str] = (), firm: Iterable[str] = ()):
-        self.stems, self.words, self.weak, self.benign = sorted(stems), sorted(words), sorted(weak), BENIGN | set(benign)
+        self.stems, self.words, self.weak, self.firm, self.benign = sorted(stems), sorted(words), sorted(weak), set(firm), BENIGN | set(benign)
         long = lambda w: len(w.encode()) >= FUZZY_FROM
         terms = set(TERMS) | set(self.words)
         fuzzy = {w for w in self.stems if long(w)} - set(firm)
