@@ -37,7 +37,7 @@ from vecspark.llm import text as X
 
 RINGS, SEGMENTS, WIDTH, LIMIT, CHAIN = 3, 11, 22, 32, 4
 LONG, GRAM_IDEOGRAPHS, GRAM_OTHERS, GRAM_LONG = 24, 3, 6, 12
-SLICE, TASK_ROWS = 1 << 18, 1 << 19
+SLICE, TASK_ROWS, HELD_ROWS = 1 << 18, 1 << 19, 1 << 18
 PARTS = ((14, 8), (7, 7), (0, 7))  # shift and width of the parts of a segment
 PART_BITS, REST_BITS = max(w for _, w in PARTS), WIDTH - min(w for _, w in PARTS)
 RING_BITS = SEGMENTS * WIDTH
@@ -119,9 +119,13 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def segments(sig: np.ndarray) -> np.ndarray:
-    """RING_BYTES bytes to SEGMENTS numbers of WIDTH bits."""
-    bits = np.unpackbits(sig, axis=1)[:, :RING_BITS].reshape(len(sig), SEGMENTS, WIDTH)
-    return bits @ (1 << np.arange(WIDTH - 1, -1, -1, dtype=np.int64))
+    """RING_BYTES bytes to SEGMENTS numbers of WIDTH bits, some rows at a time: single bits take room."""
+    out = np.empty((len(sig), SEGMENTS), dtype=np.uint32)
+    place = 1 << np.arange(WIDTH - 1, -1, -1, dtype=np.int32)
+    for lo in range(0, len(sig), 4096):
+        bits = np.unpackbits(sig[lo : lo + 4096], axis=1)[:, :RING_BITS].reshape(-1, SEGMENTS, WIDTH)
+        out[lo : lo + 4096] = bits @ place
+    return out
 
 
 def rest(x: np.ndarray, part: int) -> np.ndarray:
@@ -268,7 +272,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = 0
     for b in batches:
         bucket, ids, sig = np.asarray(b.column(0)), np.asarray(b.column(1)), _raw(b.column(2), RING_BYTES)
-        if rows >= TASK_ROWS and len(bucket):
+        if rows >= HELD_ROWS and len(bucket):
             ends = int(np.searchsorted(bucket, held[-1][0][-1], "right"))
             held.append((bucket[:ends], ids[:ends], sig[:ends]))
             if ends == len(bucket):
@@ -288,7 +292,7 @@ def _flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa
     bucket, ids, sig = (np.concatenate(x) for x in zip(*held, strict=True))
     every, node = np.unique(ids, return_inverse=True)
     known = Components(len(every))
-    link(bucket.astype(np.int64), node, segments(sig).astype(np.uint32), known)
+    link(bucket.astype(np.int64), node, segments(sig), known)
     root = known.find(np.arange(len(every)))
     other = np.flatnonzero(root != np.arange(len(every)))
     yield pa.RecordBatch.from_arrays([pa.array(every[other]), pa.array(every[root[other]])], names=["a", "b"])
