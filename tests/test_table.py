@@ -116,8 +116,10 @@ def test_search(spark, root):
     assert [r["id"] for r in t.search(q, 3, t.make_id_filter([1, 2]))] == [2, 1]
     with pytest.raises(ValueError):
         t.search([1.0], 1)
-    with pytest.raises(TypeError):
-        t.search(q, 1, where=lambda *_: True)
+    assert [r["id"] for r in t.search(q, 2, where=lambda key, meta: key < 5 and meta["category"] == "a")] == [4, 3]
+    for bad in ({"where": 7}, {"width": 3}):
+        with pytest.raises(TypeError):
+            t.search(q, 1, **bad)
     assert t.delete_where("category == 'b'").count() == 10
     asked = spark.createDataFrame([(1, q)], "query_id long, query array<double>")
     assert [r["id"] for r in t.search_batch(asked, 2).orderBy("rank").collect()] == ["long:12", "long:11"]
@@ -209,3 +211,46 @@ def test_streaming_is_idempotent(spark, root, tmp_path):
         ingest(stream, root, str(tmp_path / f"ck{n}")).awaitTermination()
         t = VectorTable.load(spark, root)
         assert ids(t) == list(range(6)) and t.get_vector(0) == [0, 0, 0, 0]
+
+
+@pytest.mark.parametrize("kind", ["hnsw", "ivf"])
+def test_indexed_tables(spark, root, kind):
+    """Segments by commit; deleted vectors, replaced ones and filters; the same rows as an exact search where all is visited."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 16)).round(3)
+    df = spark.createDataFrame([(i, v.tolist(), '{"g":%d}' % (i % 3)) for i, v in enumerate(x)], "id long, embedding array<double>, metadata string")
+    t = VectorTable.create(spark, root, 16, index_type=kind, m=8).insert_batch(df.where("id < 2000")).sync("one").insert_batch(df.where("id >= 2000")).sync("two")
+    assert len(t.base["index"]) == 2
+    t = t.delete_batch(df.where("id % 5 = 0").select("id")).sync("three").upsert([x[7].tolist()], [10]).sync("four")
+    asked = spark.createDataFrame([(i, (v + 0.01).tolist()) for i, v in enumerate(x[:60])], "query_id int, query array<double>")
+    wide = {"ef": 400} if kind == "hnsw" else {"probes": 10**6}
+    for where in (None, "g == 1", [3, 6, 9, 10, 11]):
+        exact = {(r["query_id"], r["id"]) for r in t.search_batch(asked, 10, where, exact=True).collect()}
+        found = {(r["query_id"], r["id"]) for r in t.search_batch(asked, 10, where, **wide).collect()}
+        assert len(found & exact) >= 0.97 * len(exact) and len(found) == len(exact)
+    assert [r["id"] for r in t.search(x[7].tolist(), 2, **wide)] in ([7, 10], [10, 7])
+    best = t.search(x[11].tolist(), 1, "g == 2", with_metadata=True, **wide)
+    assert best == [{"id": 11, "distance": best[0]["distance"], "metadata": {"g": 2, "external-id": 11}}]
+    assert t.insert([0.0] * 16, 10**6).search([0.0] * 16, 1)[0]["id"] == 10**6  # not synced: exact
+    assert len(VectorTable.load(spark, root).search(x[0].tolist(), 5, budget=500, patience=True, timeout_ms=60_000)) == 5
+    M.gc(t, guard_seconds=-1)
+    assert len(VectorTable.load(spark, root).search(x[0].tolist(), 5)) == 5
+
+
+def test_graph_after_deletes(spark):
+    from vecspark.ann import graph
+    from vecspark.operators import metrics
+
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((2500, 8)))], "vec_id long, embedding array<double>")
+    edges = graph.build(df, 8, 60, 1).persist()
+    live, gone = df.where("vec_id % 4 <> 1"), df.where("vec_id % 4 = 1").select("vec_id")
+    asked = df.limit(100).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    exact = {(r["query_id"], r["id"]) for r in __import__("vecspark.operators.search", fromlist=["x"]).search_batch(live, asked, 10).collect()}
+    fixed = graph.repaired(df, edges, gone, 8, 1).persist()
+    assert metrics.dangling(fixed, live).count() == 0 and metrics.self_loops(fixed).count() == 0 and metrics.degree_violations(fixed, 16, 8).count() == 0
+    for found in (graph.probe(df, edges, asked, 10, 120, 1, where=live.select("vec_id")), graph.probe(live, fixed, asked, 10, 120, 1)):
+        assert len({(r["query_id"], r["id"]) for r in found.collect()} & exact) >= 0.97 * len(exact)
+    bare = graph.probe(live, edges, asked, 10, 120, 1)  # links to what is gone are left out, never bent
+    assert {r["id"] % 4 for r in bare.select("id").collect()} <= {0, 2, 3}
+    assert len({(r["query_id"], r["id"]) for r in bare.collect()} & exact) >= 0.85 * len(exact)

@@ -1,22 +1,27 @@
 """Inverted-file search: vectors live in the cell of their nearest centroid, queries visit the nearest cells only.
 
-Centroids are fitted by k-means on a bounded sample (``SAMPLE`` rows at most, by hash of the id). Cells are a column: stored
-tables are partitioned by it, so that a probe prunes files; the join on the cell lets AQE split cells that are too large.
+Centroids are fitted by k-means on a bounded sample (``SAMPLE`` rows at most, by hash of the id). ``probe`` groups rows by a
+cell column; ``pack`` stores cells as rows of at most some ``CELL_ROWS`` vectors in folders by cell, so that ``probe_packed``
+reads the folders of the probed cells only, in as many tasks as they have rows, and shuffles nothing but results.
 Every visited vector is compared exactly, so results differ from exact search only in what isn't visited.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vecspark.functions import distance as D
 from vecspark.operators import search
 from vecspark.operators.sampling import smallest_hashes
 
-SAMPLE = 100_000
+SAMPLE, CELL_ROWS = 100_000, 20_000
+PACKED = "cell int, keys array<string>, seqs array<long>, x binary"
 
 
 def fit(vectors: DataFrame, cells: int, metric: str = "euclidean", rounds: int = 15, seed: int = 42, id_col: str = "vec_id", vector_col: str = "embedding") -> np.ndarray:
@@ -116,3 +121,60 @@ def overfetched(search_fn, keep, k: int, factors: tuple[int, ...] = (3, 10, 30))
         if found.limit(k).count() >= k:
             break
     return found.orderBy("distance", "id").limit(k)
+
+
+def cell_count(n: int) -> int:
+    return int(min(4096, max(1, round(n**0.5))))
+
+
+def pack(vectors: DataFrame, centroids: np.ndarray, rows: int, metric: str = "euclidean") -> DataFrame:
+    """Rows (cell, keys, seqs, x) of ``vectors(key, seq, v)``, to be written by cell; large cells take several rows."""
+    parts = max(1, 4 * rows // max(1, len(centroids)) // CELL_ROWS)
+    own = _celled(vectors.select("key", "seq", "v"), centroids, metric, "v", 1).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    dim = centroids.shape[1]
+
+    def one(table: pa.Table) -> pa.Table:
+        x, at = search.matrix(table.column("v"), dim)
+        keys, seqs = (table.column(c).combine_chunks().take(pa.array(at)) for c in ("key", "seq"))
+        offs = pa.array([0, len(at)], pa.int32())
+        cols = [pa.array([table.column("cell")[0].as_py()], pa.int32()), pa.ListArray.from_arrays(offs, keys), pa.ListArray.from_arrays(offs, seqs), pa.array([x.astype(np.float32).tobytes()], pa.binary())]
+        return pa.table(cols, names=["cell", "keys", "seqs", "x"])
+
+    return own.groupBy("cell", "part").applyInArrow(one, PACKED)
+
+
+def probe_packed(index: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int, probes: int, metric: str, ok: Callable[[pa.Array, np.ndarray], np.ndarray | None]) -> DataFrame:
+    """(query_id, key, distance) of the k nearest of each stored row in the ``probes`` nearest cells; ``ok(keys, seqs)`` marks what may be returned."""
+    spark = index.sparkSession
+    kind = queries.schema["query_id"].dataType.simpleString()
+    schema, dim = f"query_id {kind}, key string, distance double", centroids.shape[1]
+    found = None
+    for part in search._slices(queries):
+        part = [r for r in part if len(r["q"]) == dim]
+        if not part:
+            continue
+        q = np.array([r["q"] for r in part], dtype=np.float64)
+        q = D.unit_rows(q) if metric == "cosine" else q
+        cells = nearest_cell(q, centroids, max(2, probes))[:, :probes]
+        shipped = spark.sparkContext.broadcast((pa.array([r["query_id"] for r in part], to_arrow_type(queries.schema["query_id"].dataType)), q, cells))
+
+        def scan(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            names, q, cells = shipped.value
+            for b in batches:
+                for n in range(b.num_rows):
+                    keys, seqs = b.column(1).slice(n, 1).flatten(), np.asarray(b.column(2).slice(n, 1).flatten())
+                    x = np.frombuffer(b.column(3)[n].as_py(), np.float32).reshape(-1, dim).astype(np.float64)
+                    mask = ok(keys, seqs)
+                    if mask is not None:
+                        keys, x = keys.filter(pa.array(mask)), x[mask]
+                    x = D.unit_rows(x) if metric == "cosine" else x
+                    mine = np.flatnonzero((cells == b.column(0)[n].as_py()).any(axis=1))
+                    if len(mine) and len(x):
+                        for row, col, d in search._nearest(metric, q[mine], x, np.arange(len(x)), k):
+                            yield pa.RecordBatch.from_arrays([names.take(pa.array(mine[row])), keys.take(pa.array(col)), pa.array(d)], names=["query_id", "key", "distance"])
+
+        wanted = np.unique(cells).tolist()
+        own = index if len(wanted) == len(centroids) else index.where(F.col("cell").isin(wanted))
+        now = own.select("cell", "keys", "seqs", "x").mapInArrow(scan, schema)
+        found = now if found is None else found.union(now)
+    return found if found is not None else spark.createDataFrame([], schema)

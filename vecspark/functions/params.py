@@ -40,6 +40,17 @@ def default_capacity(dim: int) -> int:
     return min(10_000_000, max_capacity(dim))
 
 
+def max_capacity_column(dim: Column) -> Column:
+    return F.floor(F.lit(2**31 - 1 - 64) / (dim * 4)).cast("long")
+
+
+def uuid_column(text: Column) -> Column:
+    """The canonical text of a UUID, with or without hyphens and in either case; null where it is none."""
+    bare = F.regexp_replace(F.lower(text), "-", "")
+    parts = [F.substring(bare, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.when(F.lower(text).rlike("^([0-9a-f]{32}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$"), F.concat_ws("-", *parts))
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

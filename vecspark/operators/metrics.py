@@ -67,30 +67,47 @@ def deleted_neighbours(edges: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, start: int, layer: int = 0, hops: int = 1000) -> DataFrame:
-    """(node, depth): breadth-first from ``start``. Each frontier is checkpointed once the plan has grown, so lineage stays short."""
+    """(node, depth): breadth-first from ``start``. Each round is written to the shared folder, so lineage stays short and executors may be lost."""
+    from vecspark.sources.store import kept
+
     spark = edges.sparkSession
-    own = edges.where(F.col("layer") == layer).select("src", "dst").persist()
+    own = kept(edges.where(F.col("layer") == layer).select("src", "dst"), "links")
     frontier = spark.createDataFrame([(start, 0)], "node long, depth int")
     seen, n = frontier, 1
-    try:
-        for depth in range(1, hops + 1):
-            step = own.join(frontier, own["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth))
-            frontier = step.join(seen.select("node"), "node", "left_anti")
-            total = seen.unionByName(frontier)
-            if spark.sparkContext.getCheckpointDir():
-                total = total.checkpoint()
-            else:
-                total = total.persist()
-            if (now := total.count()) == n:
-                return total
-            seen, frontier, n = total, total.where(F.col("depth") == depth), now
-        return seen
-    finally:
-        own.unpersist()
-
-
-def invariants(edges: DataFrame, nodes: DataFrame, m0: int, m: int, start: int | None = None, least: float = 0.95, id_col: str = "vec_id") -> DataFrame:
-    """(check, violations, passed) of all checks."""
+    for depth in range(1, hops + 1):
+        step = own.join(frontier, own["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth))
+        seen = kept(seen.unionByName(step.join(seen.select("node"), "node", "left_anti")), "reached")
+        if (now := seen.count()) == n:
+            return seen
+        frontier, n = seen.where(F.col("depth") == depth), now
+    return seen
+
+
+def navigability(vectors: DataFrame, edges: DataFrame, targets: DataFrame, start: int, max_hops: int = 1000, metric: str = "euclidean", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(target, node, hops, finished): a greedy walk from ``start`` to each target vector (``targets``: target, v), layer by layer, over
+    nearer and nearer neighbours. It has finished where no neighbour on layer 0 is nearer. One join a hop, for all walks together."""
+    from vecspark.functions import distance as D
+    from vecspark.sources.store import kept
+
+    x = vectors.select(F.col(id_col).alias("node"), F.col(vector_col).alias("x"))
+    first = x.where(F.col("node") == start)
+    top = edges.agg(F.coalesce(F.max("layer"), F.lit(0)).alias("layer"))
+    walks = kept(targets.crossJoin(first).crossJoin(top).select("target", "v", "node", D.distance(metric, F.col("x"), F.col("v")).alias("d"), "layer", F.lit(0).alias("hops")), "walks")
+    for _ in range(max_hops):
+        going = walks.where("layer >= 0")
+        if going.limit(1).count() == 0:
+            break
+        step = going.join(edges.select(F.col("layer").alias("l"), "src", "dst"), (F.col("node") == F.col("src")) & (F.col("layer") == F.col("l")))
+        step = step.join(x.select(F.col("node").alias("dst"), F.col("x").alias("y")), "dst").select("target", F.struct(D.distance(metric, F.col("y"), F.col("v")).alias("d"), F.col("dst").alias("n")).alias("to"))
+        best = step.groupBy(F.col("target").alias("t")).agg(F.min("to").alias("to"))
+        moved = walks.join(best, F.col("target") == F.col("t"), "left")
+        nearer = F.coalesce(F.col("to.d") < F.col("d"), F.lit(False)) & (F.col("layer") >= 0)
+        walks = kept(moved.select("target", "v", F.when(nearer, F.col("to.n")).otherwise(F.col("node")).alias("node"), F.when(nearer, F.col("to.d")).otherwise(F.col("d")).alias("d"), F.when(nearer | (F.col("layer") < 0), F.col("layer")).otherwise(F.col("layer") - 1).alias("layer"), F.when(nearer, F.col("hops") + 1).otherwise(F.col("hops")).alias("hops")), "walks")
+    return walks.select("target", "node", "hops", (F.col("layer") < 0).alias("finished"))
+
+
+def invariants(edges: DataFrame, nodes: DataFrame, m0: int, m: int, start: int | None = None, least: float = 0.95, id_col: str = "vec_id", vector_col: str | None = None, gone: DataFrame | None = None) -> DataFrame:
+    """(check, violations, passed) of all checks; those of the entry point need ``start``, navigability ``vector_col`` too, and deleted neighbours ``gone``."""
     n = nodes.select(F.count("*").alias("violations"))
     checks = [
         ("self_loops", self_loops(edges).agg(F.count("*").alias("violations"))),
@@ -102,6 +119,11 @@ def invariants(edges: DataFrame, nodes: DataFrame, m0: int, m: int, start: int |
         missed = nodes.join(reachable(edges, start), F.col(id_col) == F.col("node"), "left_anti").agg(F.count("*").alias("missed"))
         connected = missed.crossJoin(n).select(F.when(F.col("missed") <= (1 - least) * F.col("violations"), 0).otherwise(F.col("missed")).alias("violations"))
         checks += [("entry_point", there), ("connectivity", connected)]
+    if start is not None and vector_col is not None:
+        walks = navigability(nodes, edges, nodes.select(F.col(id_col).alias("target"), F.col(vector_col).alias("v")), start, id_col=id_col, vector_col=vector_col)
+        checks.append(("navigability", walks.agg(F.count_if(~F.col("finished")).alias("violations"))))
+    if gone is not None:
+        checks.append(("deleted_neighbours", deleted_neighbours(edges, gone).agg(F.count("*").alias("violations"))))
     out = None
     for name, row in checks:
         one = row.select(F.lit(name).alias("check"), F.col("violations").cast("long").alias("violations"))

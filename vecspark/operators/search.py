@@ -5,11 +5,14 @@ filtered search always has k rows if k vectors pass. Vectors that are null, or o
 never results.
 
 A single query is one ``TakeOrderedAndProject``: each partition keeps its k best, the driver merges. A batch runs in one
-of three ways. ``kernel`` ships the queries to the executors in slices of at most ``SHIPPED`` bytes, computes matrix
+of four ways. ``kernel`` ships the queries to the executors in slices of at most ``SHIPPED`` bytes, computes matrix
 products over Arrow batches and keeps k rows a query and partition: no vector is moved. ``blocks`` hashes both sides into
 blocks and computes one product per pair of blocks, for query sets too large to ship. ``expr`` joins queries and vectors
-by expressions, for plans that must stay within SQL. ``auto`` (the default) measures the queries: ``kernel`` if they fit
-one slice, else ``blocks``. The last step always is a ranking window over k rows a query and partition or block.
+by expressions, for plans that must stay within SQL. ``vectors`` ships the vectors, where these fit
+``SHIPPED`` bytes, to the queries, which are spread over all cores: each query is done within one task. ``auto`` (the
+default) measures both sides: ``vectors`` if they fit and the queries take ``FEW_QUERIES`` bytes, else ``kernel`` if the
+queries fit one slice, else ``blocks``. The last step of all but ``vectors`` is a ranking window over k rows a query and
+partition or block. Query ids are distinct.
 """
 
 from __future__ import annotations
@@ -18,12 +21,15 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vecspark.functions import distance as D
 
 SHIPPED = 64 << 20
+FEW_QUERIES = 256 << 10
 ROWS = 4096
 BLOCK = 8192
 WIDE = 10_000
@@ -67,8 +73,8 @@ def search(
     best = best.withColumn("rank", F.row_number().over(Window.orderBy("distance", "id")))  # k rows
     if not metadata:
         return best
-    # metadata is read for k rows only: they are few, whatever the table's size
-    return vectors.select(F.col(id_col).alias("id"), *metadata).join(F.broadcast(best), "id").select("id", "distance", "rank", *metadata)
+    # metadata is read for k rows only; they are shipped where they are few
+    return vectors.select(F.col(id_col).alias("id"), *metadata).join(F.broadcast(best) if k <= WIDE else best, "id").select("id", "distance", "rank", *metadata)
 
 
 def top_k(scored: DataFrame, k: int, by: Sequence[str] = ("query_id",), order: Sequence[str] = ("distance", "id")) -> DataFrame:
@@ -91,8 +97,12 @@ def search_batch(
     if strategy == "auto":
         size = asked.agg((8 * F.sum(F.size("q").cast("long"))).alias("bytes")).first()["bytes"] or 0
         strategy = "kernel" if size <= SHIPPED else "blocks"
+        if size > FEW_QUERIES and (own.agg((8 * F.sum(F.size("v").cast("long"))).alias("bytes")).first()["bytes"] or 0) <= SHIPPED:
+            strategy = "vectors"
     if strategy == "blocks":
         scored = _blocks(own, asked, k + exclude_self, metric)
+    elif strategy == "vectors":
+        return _vectors(own, asked, k, metric, exclude_self, min_similarity)
     elif strategy == "kernel":
         scored = _kernel(own, asked, k + exclude_self, metric)
     elif strategy == "expr":
@@ -107,12 +117,20 @@ def search_batch(
     return top_k(scored, k).select("query_id", "id", "distance", "rank")
 
 
-def _nearest(metric: str, queries: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, radius: float | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query number, row, distance) of the k nearest rows by (distance, id), or of all within ``radius``, for strips of queries."""
+def _nearest(metric: str, queries: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, radius: float | None = None, single: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query number, row, distance) of the k nearest rows by (distance, id), or of all within ``radius``, for strips of queries.
+
+    The matrix form, in single precision where numbers allow it, only narrows the rows down, within its rounding error; distances are
+    computed again in double precision, pair by pair. ``single`` is x in single precision, if it is at hand."""
     strip = max(1, (4 << 20) // max(1, len(x)))
+    largest = float(np.einsum("ij,ij->i", x, x).max(initial=0.0))
+    eps = 1e-9
+    if radius is None and len(x) > k and largest < 1e15:
+        single, eps = (x.astype(np.float32) if single is None else single), 1.2e-7 * (x.shape[1] + 16)
     for lo in range(0, len(queries), strip):
         part = queries[lo : lo + strip]
-        rough = D.kernel(metric, part, x)
+        fast = eps > 1e-9 and float(np.einsum("ij,ij->i", part, part).max(initial=0.0)) < 1e15
+        rough = D.kernel(metric, part.astype(np.float32), single) if fast else D.kernel(metric, part, x)
         if radius is not None:
             scale = 1 + abs(radius) + float(np.abs(rough).max())
             row, col = np.nonzero(rough <= radius + 1e-9 * scale)
@@ -120,8 +138,8 @@ def _nearest(metric: str, queries: np.ndarray, x: np.ndarray, ids: np.ndarray, k
             yield lo + row[d <= radius], col[d <= radius], d[d <= radius]
             continue
         if len(x) > k:
-            cut = np.partition(rough, k - 1, axis=1)[:, k - 1]
-            slack = 1e-9 * (1 + np.abs(cut))  # covers the cancellation of the matrix form
+            cut = np.partition(rough, k - 1, axis=1)[:, k - 1].astype(np.float64)
+            slack = (eps if fast else 1e-9) * (1 + np.abs(cut) + (2 * (largest + np.einsum("ij,ij->i", part, part)) if fast else 0))  # covers the rounding of the matrix form
             row, col = np.nonzero(rough <= (cut + slack)[:, None])
         else:
             row, col = (a.ravel() for a in np.indices(rough.shape))
@@ -159,7 +177,7 @@ def _kernel(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> Data
         sets = [(dim, np.array(at), np.array([part[n]["q"] for n in at], dtype=np.float64)) for dim, at in sizes.items() if dim]
         if metric == "cosine":
             sets = [(dim, at, D.unit_rows(q)) for dim, at, q in sets]
-        shipped = spark.sparkContext.broadcast((sets, pa.array([r["query_id"] for r in part])))
+        shipped = spark.sparkContext.broadcast((sets, pa.array([r["query_id"] for r in part], to_arrow_type(queries.schema["query_id"].dataType))))
 
         def scan(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             sets, names = shipped.value
@@ -185,6 +203,49 @@ def _kernel(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> Data
     return found if found is not None else spark.createDataFrame([], schema)
 
 
+def _vectors(vectors: DataFrame, queries: DataFrame, k: int, metric: str, exclude_self: bool, min_similarity: float) -> DataFrame:
+    """The vectors, of a measured size, are shipped; each query is ranked within its task."""
+    spark = vectors.sparkSession
+    table = vectors.where("id IS NOT NULL AND v IS NOT NULL").toArrow()
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, distance double, rank int"
+    ids = table.column("id").combine_chunks()
+    sets = {}
+    for dim in {n.as_py() for n in table.column("v").combine_chunks().value_lengths().unique()} - {0, None} if len(table) else ():
+        x, rows = matrix(table.column("v"), dim)
+        own = ids.take(pa.array(rows))
+        code = own.to_numpy(zero_copy_only=False) if pa.types.is_integer(own.type) else np.argsort(np.argsort(own.to_numpy(zero_copy_only=False)))
+        sets[dim] = (D.unit_rows(x) if metric == "cosine" else x, own, code)
+    shipped = spark.sparkContext.broadcast(sets)
+    kinds = [to_arrow_type(t.dataType) for t in (queries.schema["query_id"], vectors.schema["id"])]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        singles: dict[int, np.ndarray] = {}
+        for b in _gathered(batches):
+            for dim, (x, ids, code) in shipped.value.items():
+                q, at = matrix(b.column("q"), dim)
+                if not len(q) or not len(x):
+                    continue
+                q = D.unit_rows(q) if metric == "cosine" else q
+                names = b.column("query_id").combine_chunks().take(pa.array(at))
+                if dim not in singles:
+                    singles[dim] = x.astype(np.float32)
+                for row, col, d in _nearest(metric, q, x, code, k + exclude_self, single=singles[dim]):
+                    who, other = names.take(pa.array(row)), ids.take(pa.array(col))
+                    keep = np.ones(len(row), dtype=bool)
+                    if exclude_self:
+                        keep &= ~pc.equal(who.cast(other.type), other).fill_null(False).to_numpy(zero_copy_only=False)
+                    if min_similarity > 0:
+                        keep &= (d > -1) & (1 / (1 + np.maximum(d, -0.999999999)) >= min_similarity)
+                    row, d, who, other = row[keep], d[keep], who.filter(pa.array(keep)), other.filter(pa.array(keep))
+                    rank = np.arange(len(row)) - np.searchsorted(row, row)
+                    best = rank < k
+                    mask = pa.array(best)
+                    yield pa.RecordBatch.from_arrays([who.filter(mask).cast(kinds[0]), other.filter(mask).cast(kinds[1]), pa.array(d[best]), pa.array((rank[best] + 1).astype(np.int32))], names=["query_id", "id", "distance", "rank"])
+
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    return queries.where("q IS NOT NULL AND query_id IS NOT NULL").repartition(tasks).mapInArrow(scan, schema)
+
+
 def _blocks(vectors: DataFrame, queries: DataFrame, k: int, metric: str, radius: float | None = None) -> DataFrame:
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, distance double"
     vectors, queries = vectors.where("id IS NOT NULL AND v IS NOT NULL"), queries.where("query_id IS NOT NULL AND q IS NOT NULL")

@@ -16,7 +16,7 @@ import uuid
 from typing import Any
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 class Conflict(RuntimeError):
@@ -24,10 +24,23 @@ class Conflict(RuntimeError):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; where none is set, beneath the warehouse."""
+    """A new path in the folder that all executors share, removed when the application ends. Only in local mode, where there are no other machines, may none be set."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    at = at or spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").removeprefix("file:") + "/scratch"
-    return f"{at}/{name}-{uuid.uuid4().hex}"
+    if not at:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").removeprefix("file:") + "/scratch"
+    path = f"{at}/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Store:

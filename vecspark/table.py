@@ -7,6 +7,11 @@ manifest that lists all files of the snapshot, so that commits share files, and
 
 Ids are long, string or UUID; their type is part of the id (1 and "1" differ). Ids of None or blank text become random
 UUIDs. Metadata are JSON objects. Null vectors or vectors of another dimension are refused.
+
+``index_type`` says how committed tables are searched: "exact" compares all vectors; with "hnsw" and "ivf" every commit adds
+an index segment of its new vectors (shards of a graph, or cells), which searches read in place of the vectors; deleted
+vectors are traversed, not returned, and filters hold within the search. Searches are exact, whatever the type, while
+there are changes that aren't synced, and where more than ``MASKED`` ids are deleted or allowed (they are shipped).
 """
 
 from __future__ import annotations
@@ -20,15 +25,20 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass, replace
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecspark.ann import graph, ivf
 from vecspark.functions import distance as D
 from vecspark.functions import params
 from vecspark.operators import filters, search
 from vecspark.operators import metrics as M
 from vecspark.sources.store import Conflict, Store
 
+MASKED = 1_000_000
 VECTORS = "id string, id_type string, embedding array<float>, metadata string, seq long, batch string, pid int, idx long"
 TOMBSTONES = "id string, id_type string, seq long"
 METADATA = "id string, id_type string, metadata string, seq long"
@@ -219,6 +229,14 @@ class VectorTable:
 
     __contains__ = contains
 
+    def contains_batch(self, ids: DataFrame) -> DataFrame:
+        """(id, present) of every id in the first column of ``ids``: one join, however many."""
+        own = self.vectors().select("id", "id_type", F.lit(True).alias("there"))
+        asked = self._framed(ids).drop("seq")
+        name = ids.columns[0]
+        typed = F.col("id").cast(ids.schema[0].dataType).alias(name)
+        return asked.join(own, ["id", "id_type"], "left").select(typed, F.col("there").isNotNull().alias("present"))
+
     # changes
 
     def _rows(self, rows: Iterable[tuple[Any, Sequence[float], dict | None]]) -> tuple[DataFrame, int]:
@@ -333,6 +351,12 @@ class VectorTable:
             return self.insert(value["vector"], key, value.get("metadata"))
         return self.insert(value, key)
 
+    def assoc_ex(self, key: Any, value: Sequence[float] | dict) -> VectorTable:
+        """``assoc`` that says so in its name: an id that is there raises."""
+        if self.contains(key):
+            raise ValueError(f"{key!r} is there already")
+        return self.assoc(key, value)
+
     def conj(self, entry: tuple[Any, Any]) -> VectorTable:
         return self.assoc(*entry)
 
@@ -395,6 +419,8 @@ class VectorTable:
             return rows
         if isinstance(where, str):
             return rows.where(filters.compile(where, filters.json("metadata")))
+        if callable(where) and not isinstance(where, Column):
+            return self._by_predicate(rows, where)
         if isinstance(where, Column):
             return rows.where(F.coalesce(where, F.lit(False)))
         if isinstance(where, DataFrame):
@@ -405,19 +431,44 @@ class VectorTable:
             raise TypeError(f"a filter is a text, a Column, a DataFrame of ids or a collection of ids, not {type(where).__name__}")
         return rows.join(ids, ["id", "id_type"], "left_semi")
 
+    def _by_predicate(self, rows: DataFrame, keep: Any) -> DataFrame:
+        """Rows for which ``keep(id, metadata)`` holds, by Arrow batches; text filters and Columns stay within the plan and are faster."""
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, kinds, meta = (b.column(c).to_pylist() for c in ("id", "id_type", "metadata"))
+                keys = [decoded(i, kind) for i, kind in zip(ids, kinds, strict=True)]
+                yield b.filter(pa.array([bool(keep(key, json.loads(m or "{}") | {"external-id": key})) for key, m in zip(keys, meta, strict=True)], pa.bool_()))
+
+        return rows.mapInArrow(kept, rows.schema)
+
     def make_id_filter(self, keys: Iterable[Any]) -> DataFrame:
-        """A set of ids to be used in many searches."""
+        """A set of ids to be used in many searches; ``unpersist()`` it after the last."""
         return self._keys(keys).drop("seq").distinct().persist()
 
-    def search(self, query: Sequence[float], k: int = 10, where: Any = None, min_similarity: float = 0.0, with_metadata: bool = False) -> list[dict]:
+    def search(self, query: Sequence[float], k: int = 10, where: Any = None, min_similarity: float = 0.0, with_metadata: bool = False, exact: bool = False, **options: Any) -> list[dict]:
+        """The k nearest, nearest first. ``where`` is a filter text, a Column, a predicate (id, metadata), or a set of ids. Options of indexes
+        are those of ``search_batch``."""
         if len(query) != self.config.dim:
             raise ValueError(f"the query has {len(query)} elements; the table has {self.config.dim}")
-        rows = self._filtered(where).select(F.struct("id_type", "id").alias("key"), "embedding", "metadata")
-        found = search.search(rows, query, k, self.config.distance, None, min_similarity, ["metadata"] if with_metadata else [], "key", "embedding")
+        if self._indexed(exact):
+            asked = self.spark.createDataFrame([(0, [float(np.float32(v)) for v in query])], "query_id int, query array<double>")
+            found = self.search_batch(asked, k, where, min_similarity, **options).orderBy("rank").collect()
+            keys = [(r["id"].partition(":")[2], r["id"].partition(":")[0], r["distance"]) for r in found]
+            meta = {}
+            if with_metadata and keys:
+                wanted = self.spark.createDataFrame([x[:2] for x in keys], "id string, id_type string")
+                meta = {(r["id"], r["id_type"]): r["metadata"] for r in self.vectors().join(wanted, ["id", "id_type"], "left_semi").select("id", "id_type", "metadata").collect()}
+        else:
+            self._only_exact(options)
+            rows = self._filtered(where).select(F.struct("id_type", "id").alias("key"), "embedding", "metadata")
+            found = search.search(rows, query, k, self.config.distance, None, min_similarity, ["metadata"] if with_metadata else [], "key", "embedding").orderBy("rank").collect()
+            keys = [(r["id"]["id"], r["id"]["id_type"], r["distance"]) for r in found]
+            meta = {(r["id"]["id"], r["id"]["id_type"]): r["metadata"] for r in found} if with_metadata else {}
         out = []
-        for r in found.orderBy("rank").collect():
-            one = {"id": decoded(r["id"]["id"], r["id"]["id_type"]), "distance": r["distance"]}
-            out.append(one | ({"metadata": json.loads(r["metadata"] or "{}") | {"external-id": one["id"]}} if with_metadata else {}))
+        for i, kind, d in keys:
+            one = {"id": decoded(i, kind), "distance": d}
+            out.append(one | ({"metadata": json.loads(meta.get((i, kind)) or "{}") | {"external-id": one["id"]}} if with_metadata else {}))
         return out
 
     nearest = search
@@ -430,10 +481,83 @@ class VectorTable:
     def search_with_metadata(self, query: Sequence[float], k: int = 10, **options: Any) -> list[dict]:
         return self.search(query, k, with_metadata=True, **options)
 
-    def search_batch(self, queries: DataFrame, k: int = 10, where: Any = None, **options: Any) -> DataFrame:
-        """(query_id, id, distance, rank) for a DataFrame of (query_id, query)."""
-        rows = self._filtered(where).select(F.concat_ws(":", "id_type", "id").alias("vec_id"), "embedding")
-        return search.search_batch(rows, queries, k, self.config.distance, **options)
+    OPTIONS = ("ef", "probes", "budget", "patience", "saturation", "timeout_ms")
+
+    def _only_exact(self, options: dict) -> None:
+        if unknown := set(options) - set(self.OPTIONS):
+            raise TypeError(f"unknown options: {', '.join(sorted(unknown))}")
+
+    def search_batch(self, queries: DataFrame, k: int = 10, where: Any = None, min_similarity: float = 0.0, exact: bool = False, strategy: str = "auto", exclude_self: bool = False, **options: Any) -> DataFrame:
+        """(query_id, id, distance, rank) for a DataFrame of (query_id, query); id is "type:id".
+
+        Options, for tables with an index: ``ef`` (width of the beam; else the table's, or 10k with a filter), ``probes`` (cells to visit;
+        else half of them), ``budget``, ``patience`` (True: max(7, 0.3k)), ``saturation`` and ``timeout_ms`` end a walk early."""
+        self._only_exact(options)
+        found = self._approximate(queries, k, where, options) if self._indexed(exact) and not exclude_self and strategy == "auto" else None
+        if found is None:
+            rows = self._filtered(where).select(F.concat_ws(":", "id_type", "id").alias("vec_id"), "embedding")
+            return search.search_batch(rows, queries, k, self.config.distance, None, min_similarity, exclude_self, strategy)
+        if min_similarity > 0:
+            found = found.where(D.similarity(F.col("distance")) >= min_similarity)
+        return search.top_k(found.withColumnRenamed("key", "id"), k).select("query_id", "id", "distance", "rank")
+
+    def _indexed(self, exact: bool) -> bool:
+        return not exact and self.config.index_type != "exact" and not self.pending and bool((self.base or {}).get("index"))
+
+    def _approximate(self, queries: DataFrame, k: int, where: Any, options: dict) -> DataFrame | None:
+        """(query_id, key, distance) from the index segments; None where the ids to leave out, or to allow, are too many to ship."""
+        if k < 1:
+            raise ValueError("k must be at least 1")
+        key = F.concat_ws(":", "id_type", "id").alias("key")
+        gone = self._log("tombstones", TOMBSTONES)
+        gone = None if gone is None else gone.groupBy(key).agg(F.max("seq").alias("seq")).limit(MASKED + 1).toArrow()
+        allowed = None if where is None else self._filtered(where).select(key).limit(MASKED + 1).toArrow()
+        if max(len(x) if x is not None else 0 for x in (gone, allowed)) > MASKED:
+            return None
+        shipped = self.spark.sparkContext.broadcast((None if gone is None else (gone["key"].combine_chunks(), np.asarray(gone["seq"])), None if allowed is None else allowed["key"].combine_chunks()))
+
+        def ok(keys: pa.Array, seqs: np.ndarray) -> np.ndarray | None:
+            gone, allowed = shipped.value
+            if gone is None and allowed is None:
+                return None
+            mask = np.ones(len(keys), dtype=bool)
+            if gone is not None and len(gone[0]):
+                at = pc.index_in(keys, gone[0]).fill_null(-1).to_numpy(zero_copy_only=False)
+                mask &= (at < 0) | (gone[1][np.maximum(at, 0)] < seqs)
+            if allowed is not None:
+                mask &= pc.is_in(keys, allowed).to_numpy(zero_copy_only=False)
+            return mask
+
+        asked = queries.select("query_id", F.col("query").alias("q"))
+        patience = graph.default_patience(k) if options.get("patience") is True else int(options.get("patience") or 0)
+        ef = options.get("ef") or (10 * k if where is not None else self.config.ef_search)
+        found = None
+        for s in self.base["index"]:
+            if s["kind"] == "hnsw":
+                index = self.spark.read.schema(graph.PACKED).parquet(self.store.path("data", s["path"]))
+                now = graph.probe_packed(index, asked, k, ef, self.config.distance, ok, options.get("budget", 0), patience, options.get("saturation", 0.95), options.get("timeout_ms", 0))
+            else:
+                index = self.spark.read.schema(ivf.PACKED).parquet(self.store.path("data", s["path"]))
+                centroids = np.array(self.store.read("data", s["path"] + "-centroids", "centroids.json"))
+                now = ivf.probe_packed(index, asked, centroids, k, options.get("probes") or -(-len(centroids) // 2), self.config.distance, ok)
+            found = now if found is None else found.unionByName(now)
+        return found
+
+    def _segment(self, paths: list[str]) -> dict | None:
+        """An index segment of the vectors in these folders."""
+        rows = self.spark.read.schema(VECTORS).parquet(*[self.store.path("data", p) for p in paths]).select(F.concat_ws(":", "id_type", "id").alias("key"), "seq", F.col("embedding").alias("v"))
+        n = rows.count()
+        if n == 0:
+            return None
+        c, path = self.config, f"index-{uuid.uuid4().hex}"
+        if c.index_type == "hnsw":
+            shards = graph.shard_count(n)
+            graph.pack(rows, c.m, c.ef_construction, shards, c.seed or 42, c.distance).write.parquet(self.store.path("data", path))
+            return {"kind": "hnsw", "path": path, "rows": n, "shards": shards}
+        centroids = ivf.fit(rows, ivf.cell_count(n), c.distance, seed=c.seed or 42, id_col="key", vector_col="v")
+        ivf.pack(rows, centroids, n, c.distance).write.partitionBy("cell").parquet(self.store.path("data", path))
+        self.store.write(centroids.tolist(), "data", path + "-centroids", "centroids.json")
+        return {"kind": "ivf", "path": path, "rows": n, "cells": len(centroids)}
 
     # commits
 
@@ -481,6 +605,10 @@ class VectorTable:
             "parents": list(dict.fromkeys([*([self.parent] if self.parent else []), *(parents or [])])), "branch": self.current, "message": message, "seq": self.seq_no, "slots": self.slots,
             "live": flushed.entries().count(), "starts": flushed._starts(), "created": base.get("created", time.time()), "updated": time.time(), **paths,
         }
+        if self.config.index_type != "exact":
+            fresh = [df.vecspark_path for k, df in flushed.pending if k == "vectors"]
+            segment = self._segment(fresh) if fresh else None
+            manifest["index"] = [*base.get("index", []), *([segment] if segment else [])]
         if self.config.crypto_hash:
             known = base.get("digests", {})
             new = [p for kind in paths for p in paths[kind] if not any(f.startswith(p + "/") for f in known)]
