@@ -266,7 +266,8 @@ class Shard:
             done[alive, j] = True
             near = links[at[pool[alive, j]]].astype(np.int64)
             near[seen[alive[:, None], np.maximum(near, 0)]] = -1
-            seen[alive[:, None], np.maximum(near, 0)] |= near >= 0
+            some, col = np.nonzero(near >= 0)
+            seen[alive[some], near[some, col]] = True
             dist = self._to(q[alive], near)
             spent[alive] += (near >= 0).sum(axis=1)
             every_d, every = np.concatenate([pool_d[alive], dist], axis=1), np.concatenate([pool[alive], near], axis=1)
@@ -314,6 +315,11 @@ def _found(shard: Shard, ids: pa.Array, sets: list, names: list[str], types: tup
             yield pa.RecordBatch.from_arrays([pa.array([queries[r] for r in row.tolist()], types[0]), ids.take(pa.array(node)).cast(types[1]), pa.array(d)], names=names)
 
 
+def _of_two(f: Callable, shipped) -> Callable:
+    """A function of two groups: Spark goes by the number of parameters."""
+    return lambda a, b: f(a, b, shipped)
+
+
 _TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
@@ -340,7 +346,7 @@ def probe(
     for part in search._slices(asked):
         shipped = spark.sparkContext.broadcast(_asked(part, metric))
 
-        def one(a: pa.Table, b: pa.Table, shipped=shipped) -> pa.Table:
+        def look_at(a: pa.Table, b: pa.Table, shipped) -> pa.Table:
             names, types = ["query_id", "id", "distance"], (_TYPES[kind], pa.int64())
             empty = pa.table([pa.array([], t) for t in (*types, pa.float64())], names=names)
             if not len(a):
@@ -352,6 +358,7 @@ def probe(
             batches = list(_found(shard, pa.array(ids), shipped.value, names, types, look))
             return pa.Table.from_batches(batches) if batches else empty
 
+        one = _of_two(look_at, shipped)
         now = own.groupBy("shard").cogroup(links.groupBy("shard")).applyInArrow(one, schema)
         found = now if found is None else found.union(now)
     return search.top_k(found if found is not None else spark.createDataFrame([], schema), k).select("query_id", "id", "distance", "rank")
