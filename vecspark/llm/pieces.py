@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vecspark.llm import text as X
 
 MODEL, ALPHA, SEED = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 1
-MODEL_SETTING, CHUNK = "spark.vecspark.pieces.model", 3 << 20
+MODEL_SETTING, CHUNK = "spark.vecspark.pieces.model", 3 << 19
 SCHEMA = "doc_id long, ids array<int>, n_pieces int, lossless boolean"
 WIDTHS = np.zeros(256, dtype=np.int64)  # bytes of a character by its first
 WIDTHS[:128], WIDTHS[192:224], WIDTHS[224:240], WIDTHS[240:] = 1, 2, 3, 4
