@@ -190,3 +190,28 @@ def test_different_texts_of_other_scripts_stay(spark):
     rows = [(n, " ".join(h + "".join(rng.choices(letters, k=5)) for h in heads)) for n in range(3)]
     rows += [(10 + n, " ".join(h[:3] + "".join(rng.choices("abcdefghij", k=6)) for h in ["str", "con", "pre", "inter"] * 15)) for n in range(3)]
     assert _groups(spark.createDataFrame(rows, "doc_id long, text string")) == {}
+
+
+def test_large_buckets_are_linked_whole_and_in_few_steps(monkeypatch):
+    """Signatures of uneven segments, as those of one language, fall on few keys: all near pairs are linked, without a step for each row."""
+    rng = np.random.default_rng(11)
+    share = np.repeat(np.where(np.arange(simhash.SEGMENTS) % 2, 0.5, 0.06), simhash.WIDTH)
+    bits = (rng.random((6000, simhash.RING_BITS)) < share).astype(np.uint8)
+    for k in range(300):  # near copies among them
+        bits[5000 + k] = bits[k]
+        bits[5000 + k, rng.choice(simhash.RING_BITS, simhash.LIMIT + k % 2, replace=False)] ^= 1
+    for k in range(5400, 6000):  # and a large group of them
+        bits[k] = bits[4999]
+        bits[k, rng.choice(simhash.RING_BITS, 12, replace=False)] ^= 1
+    packed = np.packbits(bits, axis=1)
+    pairs = near({n: r.tobytes() for n, r in enumerate(packed)}, 1, simhash.LIMIT)
+    seg = simhash.segments(packed)
+    cols = [(((s * 3 + part) << simhash.PART_BITS) | seg[:, s] >> shift & ((1 << width) - 1)) for s in range(simhash.SEGMENTS) for part, (shift, width) in enumerate(simhash.PARTS)]
+    steps, find = [], simhash.Components.find
+    monkeypatch.setattr(simhash.Components, "find", lambda self, x: steps.append(1) or find(self, x))
+    known = simhash.Components(len(seg))
+    simhash.link(np.concatenate(cols).astype(np.int64), np.tile(np.arange(len(seg)), len(cols)), np.tile(seg, (len(cols), 1)), known)
+    assert len(steps) < 100_000
+    want = components(pairs)
+    assert {n: int(r) for n, r in enumerate(known.find(np.arange(len(seg)))) if n in want} == want and len(want) > 900
+    assert len(np.unique(known.find(np.arange(len(seg))))) == len(seg) - len(want) + len(set(want.values()))

@@ -13,13 +13,14 @@ bits). A first segment differing in at most two bits agrees on one of three part
 is sent to 99 buckets (ring, segment, part, its bits): a constant number of rows a document, spread over as many tasks as
 the rows need. A task reads its buckets in order and holds few of them at a time. Inside a bucket a table of
 the other bits gives the partners of each of the 254 patterns of up to two bits, each pattern in the first part that it
-leaves alone; they are pruned by the chain budgets and then checked on the full signature. Pairs already known to be
+leaves alone; they are pruned by the 64 bits that follow, which the chain of four segments contains, then by the chain
+budgets, and then checked on the full signature. Pairs already known to be
 connected are not checked again; nothing is capped. Equal signatures are merged beforehand and never sent twice.
 
 Defined cases: null and empty texts belong to no group. A text without any token is one feature (the whole text). Texts of
 any length count whole. An empty table has no groups. Rows
 without ``doc_id`` belong to no group. Rows repeated under one ``doc_id`` are one document, also if their texts differ. Other columns are ignored.
-A pair of unrelated English documents meets in a bucket's table with odds of some 3 in 100, so that the pruning's work grows
+A pair of unrelated documents meets in a bucket's table some 0.05 times, so that the pruning's work grows
 with the square of the documents beside the linear rest (the README has both in figures).
 """
 
@@ -38,6 +39,7 @@ from vecspark.llm import text as X
 RINGS, SEGMENTS, WIDTH, LIMIT, CHAIN = 3, 11, 22, 32, 4
 LONG, GRAM_IDEOGRAPHS, GRAM_OTHERS, GRAM_LONG = 24, 3, 6, 12
 SLICE, TASK_ROWS, HELD_ROWS = 1 << 18, 1 << 19, 1 << 18
+SIDE, SQUARES = 8, 1 << 10
 PARTS = ((14, 8), (7, 7), (0, 7))  # shift and width of the parts of a segment
 PART_BITS, REST_BITS = max(w for _, w in PARTS), WIDTH - min(w for _, w in PARTS)
 RING_BITS = SEGMENTS * WIDTH
@@ -119,12 +121,12 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def segments(sig: np.ndarray) -> np.ndarray:
-    """RING_BYTES bytes to SEGMENTS numbers of WIDTH bits, some rows at a time: single bits take room."""
+    """RING_BYTES bytes to SEGMENTS numbers of WIDTH bits, each of which lies within four bytes."""
     out = np.empty((len(sig), SEGMENTS), dtype=np.uint32)
-    place = 1 << np.arange(WIDTH - 1, -1, -1, dtype=np.int32)
-    for lo in range(0, len(sig), 4096):
-        bits = np.unpackbits(sig[lo : lo + 4096], axis=1)[:, :RING_BITS].reshape(-1, SEGMENTS, WIDTH)
-        out[lo : lo + 4096] = bits @ place
+    for k in range(SEGMENTS):
+        at = min(k * WIDTH // 8, RING_BYTES - 4)
+        four = np.ascontiguousarray(sig[:, at : at + 4]).view(">u4")[:, 0].astype(np.uint32)
+        out[:, k] = four >> np.uint32(32 + 8 * at - (k + 1) * WIDTH) & np.uint32((1 << WIDTH) - 1)
     return out
 
 
@@ -222,48 +224,108 @@ def link(bucket: np.ndarray, node: np.ndarray, seg: np.ndarray, known: Component
         for lo in range(0, len(names), together):
             i, j = np.searchsorted(key, [lo << REST_BITS, (lo + together) << REST_BITS])
             if j - i > 1:
-                _join(key[i:j] - (lo << REST_BITS), min(together, len(names) - lo) << REST_BITS, p, node[mine[i:j]], s[mine[i:j]], seg[mine[i:j]], known, block)
+                _join(key[i:j] - (lo << REST_BITS), p, node[mine[i:j]], s[mine[i:j]], seg[mine[i:j]], min(together, len(names) - lo) << REST_BITS, known, block)
 
 
-def _join(key: np.ndarray, keys: int, part: int, node: np.ndarray, s: np.ndarray, seg: np.ndarray, known: Components, block: int) -> None:
-    """``link`` of some buckets whose rows are sorted by ``key`` (bucket, other bits), a number under ``keys``."""
-    start = np.zeros(keys + 1, dtype=np.int32)
-    np.cumsum(np.bincount(key, minlength=keys), out=start[1:])
-    everyone = np.arange(len(key), dtype=np.int32)
-    after = seg[everyone, (s + 1) % SEGMENTS]
+def _look(seg: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The 64 bits that follow each row's segment ``s``: two segments and most of a third."""
+    every = np.arange(len(s))
+    out = seg[every, (s + 1) % SEGMENTS].astype(X.U)
+    for k, bits in ((2, WIDTH), (3, 64 - 2 * WIDTH)):
+        out = out << X.U(bits) | (seg[every, (s + k) % SEGMENTS] >> (WIDTH - bits)).astype(X.U)
+    return out
+
+
+def _expand(who: np.ndarray, lo: np.ndarray, n: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each ``who`` with the ``n`` numbers from ``lo`` on, at most ``block`` at a time."""
+    ends = np.cumsum(n, dtype=np.int64)
+    i, cut = 0, 0  # of who[i] the first ``cut`` are done
+    while i < len(who):
+        done = int(ends[i - 1] if i else 0) + cut
+        j = int(np.searchsorted(ends, done + block, "right"))
+        if j == i:
+            yield np.full(block, who[i]), np.arange(lo[i] + cut, lo[i] + cut + block, dtype=np.int32)
+            cut += block
+            continue
+        size = n[i:j].copy()
+        size[0] -= cut
+        first = lo[i:j].astype(np.int64)
+        first[0] += cut
+        yield np.repeat(who[i:j], size), (np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())).astype(np.int32)
+        i, cut = j, 0
+
+
+def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers lo, lo + 1, ... of each range of ``n``, one range after the other."""
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _join(key: np.ndarray, part: int, node: np.ndarray, s: np.ndarray, seg: np.ndarray, keys: int, known: Components, block: int) -> None:
+    """``link`` of some buckets whose rows are sorted by ``key`` (bucket, other bits), a number under ``keys``.
+
+    Keys are looked up once each, not once a row. Rows of a key are also laid out in squares' sides of ``SIDE`` rows: of keys with
+    several rows, whole sides are compared with each other, which costs a tenth of gathering the rows of each pair."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    n = np.diff(np.append(first, len(key)))
+    names = key[first]
+    place = np.full(keys, -1, dtype=np.int32)
+    place[names] = np.arange(len(names))
+    look = _look(seg, s)
+    sides = np.where(n >= SIDE // 2, -(-n // SIDE), 0)
+    side = np.cumsum(sides) - sides
+    tall = sides > 0
+    row = np.full((int(sides.sum()), SIDE), -1, dtype=np.int32)
+    row.reshape(-1)[_ranges(side[tall] * SIDE, n[tall])] = _ranges(first[tall], n[tall])
+    there = row >= 0
+    square = np.where(there, look[row], X.U(0))
+    one = np.full(len(row), -1, dtype=np.int64)  # the root of sides whose rows are all connected
+    hits = 0
+    space = np.empty((SQUARES, SIDE, SIDE), dtype=X.U)
+
+    def connect(a: np.ndarray, b: np.ndarray) -> None:
+        ok = _within(seg, s[a], a, b, node, known)
+        known.union(node[a[ok]], node[b[ok]])
+
     for x in _PATTERNS[part]:
+        most = BUDGET[CHAIN - 1] - x.bit_count()  # of the bits looked at, no more than of the chain they are part of
+        if x == 0:
+            u = v = np.flatnonzero(n > 1)
+        else:
+            u = np.flatnonzero(names >> (x.bit_length() - 1) & 1 == 0)  # each pair once
+            v = place[names[u] ^ x]
+            u, v = u[v >= 0], v[v >= 0]
+        dense = n[u] * n[v] * 4 >= sides[u] * sides[v] * SIDE**2
+        dense &= tall[u] & tall[v]
+        few, other = u[~dense], v[~dense]
+        who = _ranges(first[few], n[few])
+        if x == 0:
+            lo, size = who + 1, np.repeat(first[few] + n[few], n[few]) - who - 1
+        else:
+            lo, size = np.repeat(first[other], n[few]), np.repeat(n[other], n[few])
+        some = size > 0
+        for a, b in _expand(who[some], lo[some], size[some], block):
+            ok = np.flatnonzero(np.bitwise_count(look[a] ^ look[b]) <= most)
+            connect(a[ok], b[ok])
+        u, v = u[dense], v[dense]
+        who = _ranges(side[u], sides[u])
         if x == 0:
-            who, lo, hi = everyone, everyone + 1, start[key + 1]
+            lo, size = who, np.repeat(side[u] + sides[u], sides[u]) - who
         else:
-            who = everyone[key >> (x.bit_length() - 1) & 1 == 0]  # each pair once
-            to = key[who] ^ x
-            lo, hi = start[to], start[to + 1]
-        n = hi - lo
-        some = np.flatnonzero(n > 0)
-        who, lo, n = who[some], lo[some], n[some]
-        wide = n > 64
-        for i, first, size in zip(who[wide], lo[wide], n[wide], strict=True):
-            root = known.find(node[i : i + 1])[0]
-            there = np.arange(first, first + size)
-            there = there[known.find(node[there]) != root]
-            if len(there):
-                me = np.full(len(there), i)
-                ok = _within(seg, np.full(len(there), s[i]), me, there, node, known)
-                known.union(node[me[ok]], node[there[ok]])
-        if wide.any():
-            who, lo, n = who[~wide], lo[~wide], n[~wide]
-        ends = np.cumsum(n, dtype=np.int64)
-        i = 0
-        while i < len(who):
-            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + block, "right")))
-            size = n[i:j]
-            a = np.repeat(who[i:j], size)
-            b = np.repeat(lo[i:j] - (ends[i:j] - size - (ends[i - 1] if i else 0)).astype(np.int32), size) + np.arange(len(a), dtype=np.int32)
-            ok = np.flatnonzero(np.bitwise_count(np.repeat(after[who[i:j]], size) ^ after[b]) <= BUDGET[1] - x.bit_count())
-            a, b = a[ok], b[ok]
-            ok = _within(seg, s[a], a, b, node, known)
-            known.union(node[a[ok]], node[b[ok]])
-            i = j
+            lo, size = np.repeat(side[v], sides[u]), np.repeat(sides[v], sides[u])
+        for p, q in _expand(who, lo, size, SQUARES):
+            apart = np.flatnonzero((one[p] != one[q]) | (one[p] < 0))
+            p, q = p[apart], q[apart]
+            far = np.bitwise_xor(square[p][:, :, None], square[q][:, None, :], out=space[: len(p)])
+            hit = np.flatnonzero(np.bitwise_count(far) <= most)
+            k, hit = hit // SIDE**2, hit % SIDE**2
+            a, b = row[p[k], hit // SIDE], row[q[k], hit % SIDE]
+            real = (a >= 0) & (b >= 0) & ((a < b) | (x != 0))
+            connect(a[real], b[real])
+            hits += len(k)
+            if hits > row.size:  # as much as this costs: large groups, whose pairs needn't all be met
+                hits = 0
+                root = known.find(node[row[:, 0]])
+                one = np.where(((known.find(node[row.reshape(-1)]).reshape(row.shape) == root[:, None]) | ~there).all(axis=1), root, -1)
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
