@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline as P
 from brute import awkward, components, deduplicated, near, passages, signature, tokens
@@ -215,3 +216,21 @@ def test_large_buckets_are_linked_whole_and_in_few_steps(monkeypatch):
     want = components(pairs)
     assert {n: int(r) for n, r in enumerate(known.find(np.arange(len(seg)))) if n in want} == want and len(want) > 900
     assert len(np.unique(known.find(np.arange(len(seg))))) == len(seg) - len(want) + len(set(want.values()))
+
+
+def test_stage_of_near_copies_on_documents_much_alike(spark, sf_dir, monkeypatch):
+    """Documents that share most of their words crowd the buckets: the stage drops what brute force does, and linking takes no step for each row."""
+    rng = random.Random(12)
+    head = [f"common{k}" for k in range(90)]
+    rows = [(n, " ".join(head + [f"own{rng.randrange(10**9)}" for _ in range(30)])) for n in range(4000)]
+    rows += [(4000 + n, rows[n][1] + " more") for n in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sigs = {r["doc_id"]: bytes(r["sig"]) for r in simhash.signed(docs).collect()}
+    group = components(near(sigs, simhash.RINGS, simhash.LIMIT))
+    assert {r["doc_id"] for r in P.near_copies(spark, docs, sf_dir).collect()} == {d for d, _ in rows if group.get(d, d) == d}
+    steps, find = [], simhash.Components.find
+    monkeypatch.setattr(simhash.Components, "find", lambda self, x: steps.append(1) or find(self, x))
+    signed = pa.RecordBatch.from_arrays([pa.array(list(sigs)), pa.array(list(sigs.values()), pa.binary())], names=["id", "sig"])
+    for b in simhash._buckets(iter([signed])):
+        list(simhash._linked(iter([b.take(pa.array(np.argsort(np.asarray(b.column(0)), kind="stable")))])))
+    assert len(steps) < 64_000
