@@ -234,3 +234,23 @@ def test_stage_of_near_copies_on_documents_much_alike(spark, sf_dir, monkeypatch
     for b in simhash._buckets(iter([signed])):
         list(simhash._linked(iter([b.take(pa.array(np.argsort(np.asarray(b.column(0)), kind="stable")))])))
     assert len(steps) < 64_000
+
+
+def test_stage_of_near_copies_verifies_many_pairs_at_once(spark, sf_dir, monkeypatch):
+    """A large group of edited copies among documents much alike: the stage drops what brute force does, and pairs are verified many at a time, not block by block."""
+    rng = random.Random(13)
+    head = [f"common{k}" for k in range(90)]
+    rows = [(n, " ".join(head + [f"own{rng.randrange(10**9)}" for _ in range(30)])) for n in range(3000)]
+    base = rows[7][1].split()
+    rows += [(3000 + n, " ".join(f"new{rng.randrange(10**9)}" if rng.random() < 0.04 else w for w in base)) for n in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sigs = {r["doc_id"]: bytes(r["sig"]) for r in simhash.signed(docs).collect()}
+    group = components(near(sigs, simhash.RINGS, simhash.LIMIT))
+    assert {r["doc_id"] for r in P.near_copies(spark, docs, sf_dir).collect()} == {d for d, _ in rows if group.get(d, d) == d}
+    assert sum(g == 7 for g in group.values()) > 300
+    calls, within = [], simhash._within
+    monkeypatch.setattr(simhash, "_within", lambda seg, at, a, *rest: calls.append(len(a)) or within(seg, at, a, *rest))
+    signed = pa.RecordBatch.from_arrays([pa.array(list(sigs)), pa.array(list(sigs.values()), pa.binary())], names=["id", "sig"])
+    for b in simhash._buckets(iter([signed])):
+        list(simhash._linked(iter([b.take(pa.array(np.argsort(np.asarray(b.column(0)), kind="stable")))])))
+    assert len(calls) < 3_000

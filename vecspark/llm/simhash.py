@@ -39,7 +39,7 @@ from vecspark.llm import text as X
 RINGS, SEGMENTS, WIDTH, LIMIT, CHAIN = 3, 11, 22, 32, 4
 LONG, GRAM_IDEOGRAPHS, GRAM_OTHERS, GRAM_LONG = 24, 3, 6, 12
 SLICE, TASK_ROWS, HELD_ROWS = 1 << 18, 1 << 19, 1 << 18
-SIDE, SQUARES = 8, 1 << 10
+SIDE, SQUARES, WAITING = 8, 1 << 10, 1 << 12
 PARTS = ((14, 8), (7, 7), (0, 7))  # shift and width of the parts of a segment
 PART_BITS, REST_BITS = max(w for _, w in PARTS), WIDTH - min(w for _, w in PARTS)
 RING_BITS = SEGMENTS * WIDTH
@@ -264,7 +264,8 @@ def _join(key: np.ndarray, part: int, node: np.ndarray, s: np.ndarray, seg: np.n
     """``link`` of some buckets whose rows are sorted by ``key`` (bucket, other bits), a number under ``keys``.
 
     Keys are looked up once each, not once a row. Rows of a key are also laid out in squares' sides of ``SIDE`` rows: of keys with
-    several rows, whole sides are compared with each other, which costs a tenth of gathering the rows of each pair."""
+    several rows, whole sides are compared with each other, which costs a tenth of gathering the rows of each pair. Pairs that
+    pass are verified ``WAITING`` at a time."""
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     n = np.diff(np.append(first, len(key)))
     names = key[first]
@@ -277,35 +278,66 @@ def _join(key: np.ndarray, part: int, node: np.ndarray, s: np.ndarray, seg: np.n
     row = np.full((int(sides.sum()), SIDE), -1, dtype=np.int32)
     row.reshape(-1)[_ranges(side[tall] * SIDE, n[tall])] = _ranges(first[tall], n[tall])
     there = row >= 0
-    square = np.where(there, look[row], X.U(0))
+    square = np.ascontiguousarray(np.where(there, look[row], X.U(0)).T)  # sides run along the last axis, so that steps on many of them are long
     one = np.full(len(row), -1, dtype=np.int64)  # the root of sides whose rows are all connected
     hits = 0
-    space = np.empty((SQUARES, SIDE, SIDE), dtype=X.U)
-
-    def connect(a: np.ndarray, b: np.ndarray) -> None:
-        ok = _within(seg, s[a], a, b, node, known)
-        known.union(node[a[ok]], node[b[ok]])
+    space = np.empty(SQUARES * SIDE**2, dtype=X.U)
+    lower: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by bit: the keys without it
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def connect(a: np.ndarray, b: np.ndarray, far: np.ndarray, bits: int) -> None:
+        """Takes pairs that differ by ``far`` in what was looked at and in ``bits`` before, unless the chains of two or three segments rule them out."""
+        nonlocal held
+        ok = np.bitwise_count(far >> X.U(64 - WIDTH)) <= BUDGET[1] - bits
+        ok &= np.bitwise_count(far >> X.U(64 - 2 * WIDTH)) <= BUDGET[2] - bits
+        if ok.any():
+            waiting.append((a[ok], b[ok]))
+            held += len(waiting[-1][0])
+        if held >= WAITING:
+            settle()
+
+    def settle() -> None:
+        nonlocal held
+        if waiting:
+            a, b = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            ok = _within(seg, s[a], a, b, node, known)
+            known.union(node[a[ok]], node[b[ok]])
+            waiting.clear()
+            held = 0
 
     for x in _PATTERNS[part]:
-        most = BUDGET[CHAIN - 1] - x.bit_count()  # of the bits looked at, no more than of the chain they are part of
+        bits = x.bit_count()
+        most = BUDGET[CHAIN - 1] - bits  # of the bits looked at, no more than of the chain they are part of
         if x == 0:
             u = v = np.flatnonzero(n > 1)
         else:
-            u = np.flatnonzero(names >> (x.bit_length() - 1) & 1 == 0)  # each pair once
-            v = place[names[u] ^ x]
-            u, v = u[v >= 0], v[v >= 0]
-        dense = n[u] * n[v] * 4 >= sides[u] * sides[v] * SIDE**2
-        dense &= tall[u] & tall[v]
+            top = x.bit_length() - 1
+            if top not in lower:
+                u = np.flatnonzero(names >> top & 1 == 0)
+                lower[top] = u, names[u]
+            u, own = lower[top]  # each pair once
+            v = place.take(own ^ x)
+            both = np.flatnonzero(v >= 0)
+            u, v = u.take(both), v.take(both)
+        dense = tall.take(u) & tall.take(v)
+        at = np.flatnonzero(dense)
+        i, j = u[at], v[at]
+        dense[at] = n[i] * n[j] * 4 >= sides[i] * sides[j] * SIDE**2
         few, other = u[~dense], v[~dense]
-        who = _ranges(first[few], n[few])
+        rows = n.take(few)
+        who = _ranges(first.take(few), rows)
         if x == 0:
-            lo, size = who + 1, np.repeat(first[few] + n[few], n[few]) - who - 1
+            lo, size = who + 1, np.repeat(first[few] + rows, rows) - who - 1
+            some = size > 0
+            who, lo, size = who[some], lo[some], size[some]
         else:
-            lo, size = np.repeat(first[other], n[few]), np.repeat(n[other], n[few])
-        some = size > 0
-        for a, b in _expand(who[some], lo[some], size[some], block):
-            ok = np.flatnonzero(np.bitwise_count(look[a] ^ look[b]) <= most)
-            connect(a[ok], b[ok])
+            lo, size = np.repeat(first.take(other), rows), np.repeat(n.take(other), rows)
+        for a, b in _expand(who, lo, size, block):
+            far = look.take(a) ^ look.take(b)
+            ok = np.flatnonzero(np.bitwise_count(far) <= most)
+            if len(ok):
+                connect(a[ok], b[ok], far[ok], bits)
         u, v = u[dense], v[dense]
         who = _ranges(side[u], sides[u])
         if x == 0:
@@ -313,19 +345,26 @@ def _join(key: np.ndarray, part: int, node: np.ndarray, s: np.ndarray, seg: np.n
         else:
             lo, size = np.repeat(side[v], sides[u]), np.repeat(sides[v], sides[u])
         for p, q in _expand(who, lo, size, SQUARES):
-            apart = np.flatnonzero((one[p] != one[q]) | (one[p] < 0))
+            mine = one.take(p)
+            apart = np.flatnonzero((mine != one.take(q)) | (mine < 0))
             p, q = p[apart], q[apart]
-            far = np.bitwise_xor(square[p][:, :, None], square[q][:, None, :], out=space[: len(p)])
+            far = space[: len(p) * SIDE**2].reshape(SIDE, SIDE, len(p))
+            np.bitwise_xor(square.take(p, axis=1)[:, None, :], square.take(q, axis=1)[None, :, :], out=far)
+            far = far.reshape(-1)
             hit = np.flatnonzero(np.bitwise_count(far) <= most)
-            k, hit = hit // SIDE**2, hit % SIDE**2
-            a, b = row[p[k], hit // SIDE], row[q[k], hit % SIDE]
+            if len(hit) == 0:
+                continue
+            of, k = hit // len(p), hit % len(p)
+            a, b = row[p[k], of // SIDE], row[q[k], of % SIDE]
             real = (a >= 0) & (b >= 0) & ((a < b) | (x != 0))
-            connect(a[real], b[real])
+            connect(a[real], b[real], far[hit[real]], bits)
             hits += len(k)
             if hits > row.size:  # as much as this costs: large groups, whose pairs needn't all be met
                 hits = 0
+                settle()
                 root = known.find(node[row[:, 0]])
                 one = np.where(((known.find(node[row.reshape(-1)]).reshape(row.shape) == root[:, None]) | ~there).all(axis=1), root, -1)
+    settle()
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
