@@ -60,3 +60,28 @@ def test_many_equal_vectors_within_range(spark, monkeypatch):
     assert sum(len(r) for r, _, _ in search._within("euclidean", x, x, 0.0)) == 160_000 and max(most) <= 50
     assert sum(len(r) for r, _, _ in search._nearest("euclidean", x, x, np.arange(400), 3)) == 1200 and max(most) <= 50
     assert search.range_search(own, asked, 0.0).count() == 160_000
+
+
+def test_full_width_is_exact_even_without_links(spark):
+    """A beam as wide as the shard compares all of it, so nothing hangs on what the links reach."""
+    from vecspark.ann import graph
+
+    x, own, asked = made(spark, whole=False)
+    none = graph.build(own, 4, 20, 2).where("false")
+    where = own.where("vec_id % 3 <> 0").select("vec_id")
+    limits = {"budget": 10**9, "patience": 10**9, "timeout_ms": 10**9}
+    assert rows(graph.probe(own, none, asked, 5, 300, 2, **limits)) == brute(x, 5)
+    kept = np.flatnonzero(np.arange(300) % 3)
+    assert rows(graph.probe(own, none, asked, 5, 300, 2, where=where)) == rows(search.search_batch(own, asked, 5, where=where)) and len(kept) == 200
+    shard = graph.Shard(x, graph.shard_links(x, np.arange(300), 4, 20, 42, "euclidean"), "euclidean")
+    shard._beam = None  # never walked
+    row, node, _ = shard.search(x, 5, 10**6)
+    assert {(int(r), int(n), i % 5 + 1) for i, (r, n) in enumerate(zip(row, node, strict=True))} == brute(x, 5)
+    assert len(graph.Shard(x, graph.shard_links(x, np.arange(300), 4, 20, 42, "euclidean"), "euclidean").search(x, 5, 10**6, budget=20)[0]) <= 1500
+
+
+def test_limits_that_never_end_a_walk():
+    from vecspark.ann import graph
+
+    assert graph.exhaustive(100, 10, 100) and graph.exhaustive(100, 10, 200, 100, 100, 10**9) and graph.exhaustive(0, 10, 1)
+    assert not graph.exhaustive(100, 10, 99) and not graph.exhaustive(100, 10, 100, 99) and not graph.exhaustive(100, 10, 100, 0, 7) and not graph.exhaustive(100, 10, 100, 0, 0, 50)
