@@ -85,3 +85,13 @@ def test_limits_that_never_end_a_walk():
 
     assert graph.exhaustive(100, 10, 100) and graph.exhaustive(100, 10, 200, 100, 100, 10**9) and graph.exhaustive(0, 10, 1)
     assert not graph.exhaustive(100, 10, 99) and not graph.exhaustive(100, 10, 100, 99) and not graph.exhaustive(100, 10, 100, 0, 7) and not graph.exhaustive(100, 10, 100, 0, 0, 50)
+
+
+@pytest.mark.parametrize("kind, wide, part", [("hnsw", {"ef": 300}, {"ef": 100}), ("ivf", {"probes": 10**6}, {"probes": 2})])
+def test_tables_searched_in_full_are_searched_exactly(spark, tmp_path, kind, wide, part):
+    from vecspark.table import VectorTable
+
+    x, own, asked = made(spark, whole=False)
+    t = VectorTable.create(spark, str(tmp_path / "t"), 6, index_type=kind, m=4).insert_batch(own.selectExpr("vec_id AS id", "embedding")).sync("one")
+    assert t._approximate(asked, 5, None, wide) is None and t._approximate(asked, 5, None, part) is not None
+    assert {(q, int(i.split(":")[1]), r) for q, i, r in rows(t.search_batch(asked, 5, **wide))} == {(q, i, r) for q, i, r in brute(x.astype(np.float32).astype(float), 5)}
