@@ -95,3 +95,44 @@ def test_tables_searched_in_full_are_searched_exactly(spark, tmp_path, kind, wid
     t = VectorTable.create(spark, str(tmp_path / "t"), 6, index_type=kind, m=4).insert_batch(own.selectExpr("vec_id AS id", "embedding")).sync("one")
     assert t._approximate(asked, 5, None, wide) is None and t._approximate(asked, 5, None, part) is not None
     assert {(q, int(i.split(":")[1]), r) for q, i, r in rows(t.search_batch(asked, 5, **wide))} == {(q, i, r) for q, i, r in brute(x.astype(np.float32).astype(float), 5)}
+
+
+def test_edges_are_searched_once(spark, tmp_path):
+    from vecspark.operators import metrics
+
+    x, own, asked = made(spark, whole=False)
+    edges = search.search_batch(own, asked, 5, exclude_self=True).selectExpr("0 AS layer", "query_id AS src", "id AS dst").coalesce(1)
+    at = str(tmp_path)
+
+    def counted(batches):
+        import uuid
+
+        open(f"{at}/{uuid.uuid4().hex}", "w").close()
+        yield from batches
+
+    found = {r["check"]: r["violations"] for r in metrics.invariants(edges.mapInArrow(counted, edges.schema), own, 5, 5, 0, vector_col="embedding", gone=own.where("vec_id = 3").select("vec_id")).collect()}
+    assert len(list(tmp_path.iterdir())) == 1
+    assert found["self_loops"] == found["neighbour_counts"] == found["neighbour_bounds"] == found["navigability"] == 0
+    assert found["deleted_neighbours"] == sum(i == 3 for _, i, _ in brute(x, 5, skip=True))
+
+
+def test_walks_end_where_no_neighbour_is_nearer(spark):
+    from vecspark.operators import metrics
+
+    own = spark.createDataFrame([(i, [float(i)]) for i in range(30)], "vec_id long, embedding array<double>")
+    line = spark.createDataFrame([(0, i, j) for i in range(30) for j in (i - 1, i + 1) if 0 <= j < 30 and i != 20], "layer int, src long, dst long")
+    asked = own.where("vec_id in (0, 1, 4, 18, 25)").selectExpr("vec_id AS target", "embedding AS v")
+    ends = {(r["target"], r["node"], r["hops"], r["finished"]) for r in metrics.navigability(own, line, asked, 0, 30).collect()}
+    assert ends == {(0, 0, 0, True), (1, 1, 1, True), (4, 4, 4, True), (18, 18, 18, True), (25, 20, 20, True)}
+    assert {(r["target"], r["node"], r["finished"]) for r in metrics.navigability(own, line, asked, 0, 3).collect()} == {(0, 0, True), (1, 1, True), (4, 3, False), (18, 3, False), (25, 3, False)}
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_expressions_over_many_pairs(spark, monkeypatch, metric):
+    """Beyond the bound, pairs are narrowed down first; expressions still give the distances, and the ties."""
+    x, own, asked = made(spark, whole=metric == "euclidean")
+    plain = search.search_batch(own, asked, 5, metric, strategy="expr", exclude_self=True).collect()
+    monkeypatch.setattr(search, "EXPR_PAIRS", 0)
+    df = search.search_batch(own, asked, 5, metric, strategy="expr", exclude_self=True)
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["query_id"], r["rank"], r["id"], round(r["distance"], 9)) for r in df.collect()) == sorted((r["query_id"], r["rank"], r["id"], round(r["distance"], 9)) for r in plain)
